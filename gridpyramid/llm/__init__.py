@@ -1,11 +1,18 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this."""
 
-from . import exact_dedup, language_id, sentencepiece_codec, token_counts
+from . import exact_dedup, language_id, line_dedup, secret_scan, sentencepiece_codec, token_counts, topk_search
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_language_id": language_id.op4_language_id,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_topk_search": topk_search.op7_topk_search,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.SQL}
+ORACLES = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op7_topk_search": topk_search.SQL,
+}
