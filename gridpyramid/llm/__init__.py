@@ -1,6 +1,6 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this."""
 
-from . import exact_dedup, language_id, line_dedup, secret_scan, sentencepiece_codec, token_counts, topk_search
+from . import exact_dedup, language_id, line_dedup, secret_scan, sentencepiece_codec, source_mixing, token_counts, topk_search
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_topk_search": topk_search.op7_topk_search,
+    "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -15,4 +16,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_topk_search": topk_search.SQL,
+    "op8_source_mixing": source_mixing.SQL,
 }
