@@ -5,11 +5,11 @@ Independent trees branch the classes by selected minwise tokens: a node holds
 the sets that chose the same tokens on the path to it. A pair of similarity J
 stays together through d choices with probability J**d, and TREES repetitions
 bring the chance that it never meets to (1 - J**ROOT)**TREES, below one in ten
-million at J = 0.8. Small nodes are compared exhaustively; larger ones are
-compared with a pivot that each tree and level draws anew, and branch further
-where they still hold more than one component. So no node is ever collected
-and no large group is expanded into pairs. Every link is confirmed on the full
-sets; a 1-bit minwise sketch of 128 bits only drops pairs that are four
+million at J = 0.8. First every node's rows are compared with a pivot that each
+node draws. Then nodes of which few rows are outside the pivot's component are
+small: each such row is compared with all others. Nodes with more such rows
+branch further and draw again. So no node is ever collected and no large group
+is expanded into pairs. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are four
 standard deviations below the threshold.
 
 Rows: null texts and texts without words have the empty set and link with
@@ -34,11 +34,13 @@ from .components import components
 
 #: Independent trees, and minwise tokens that choose the root nodes of each.
 TREES, ROOT = 16, 2
-#: Nodes up to this size are compared exhaustively.
-SMALL = 32
+#: Nodes with up to so many rows outside the pivot's component are compared exhaustively.
+SMALL = 512
 #: Minwise tokens kept for branching, tokens a level takes, and the most levels below the root.
 TOKENS, STRIDE, LEVELS = 64, 2, 24
-SKETCH = 128
+SKETCH = 256
+#: The sketch as columns of 64 bits.
+BITS = [f"w{i}" for i in range(SKETCH // 64)]
 SEED = 20240229
 
 Mix = np.uint64
@@ -72,12 +74,14 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """SKETCH minwise values (32 bits) of each set, none of which is empty."""
-    values, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])).astype(np.int64)
+    joined = np.concatenate(sets)
+    values = (joined ^ (joined >> Mix(32))).astype(np.uint32)
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])).astype(np.int64)
     out = np.empty((len(sets), SKETCH), np.uint32)
-    for j, (a, b) in enumerate(zip(_odd(SKETCH, SEED + 2), _odd(SKETCH, SEED + 3))):
-        mixed = values * a
-        mixed += b
-        out[:, j] = np.minimum.reduceat((mixed >> Mix(32)).astype(np.uint32), starts)
+    mixed = np.empty_like(values)
+    for j, a in enumerate((_odd(SKETCH, SEED + 2) >> Mix(32)).astype(np.uint32) | np.uint32(1)):
+        np.multiply(values, a, out=mixed)
+        out[:, j] = np.minimum.reduceat(mixed, starts)
     return out
 
 
@@ -99,7 +103,8 @@ def _sketches(k: int):
         for pdf in batches:
             sets = [shingles(t, k) for t in pdf["__t"]]
             some = [i for i, s in enumerate(sets) if len(s)]
-            out = {"id": pdf["__id"], "n": [len(s) for s in sets], "set_id": [b""] * len(sets), "lo": np.zeros(len(sets), np.int64), "hi": np.zeros(len(sets), np.int64), "keys": [[]] * len(sets), "tokens": [b""] * len(sets)}
+            out = {"id": pdf["__id"], "n": [len(s) for s in sets], "set_id": [b""] * len(sets), "keys": [[]] * len(sets), "tokens": [b""] * len(sets)}
+            out |= {w: np.zeros(len(sets), np.int64) for w in BITS}
             at = 0
             while at < len(some):  # bounded blocks of whole sets
                 block, size = [], 0
@@ -108,11 +113,12 @@ def _sketches(k: int):
                     block.append(some[at])
                     at += 1
                 sig = signatures([sets[i] for i in block])
-                bits = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.int64)
+                bits = np.packbits((sig >> 8 & 1).astype(np.uint8), axis=1).view(np.int64)
                 keys = path_keys(sig).view(np.int64)
                 for row, i in enumerate(block):
                     out["set_id"][i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                    out["lo"][i], out["hi"][i] = bits[row]
+                    for w, value in zip(BITS, bits[row]):
+                        out[w][i] = value
                     out["keys"][i] = keys[row]
                     out["tokens"][i] = sig[row, :TOKENS].astype("<u4").tobytes()
             yield pd.DataFrame(out)
@@ -120,12 +126,17 @@ def _sketches(k: int):
     return run
 
 
-def _candidate(n1: Column, n2: Column, lo1: Column, lo2: Column, hi1: Column, hi2: Column, percent: int) -> Column:
+def _differ(x: str, y: str) -> Column:
+    """Differing bits of two sketches, whose columns have these prefixes."""
+    return reduce(Column.__add__, [F.bit_count(F.col(x + w).bitwiseXOR(F.col(y + w))) for w in BITS]).cast("int")
+
+
+def _candidate(x: str, y: str, percent: int) -> Column:
     """Whether two sets may be similar enough, by their sizes and sketches."""
-    differ = F.bit_count(lo1.bitwiseXOR(lo2)) + F.bit_count(hi1.bitwiseXOR(hi2))
     half = (1 - percent / 100) / 2
     most = SKETCH * half + 4 * (SKETCH * half * (1 - half)) ** 0.5
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (differ <= int(most) + 1)
+    sizes = 100 * F.least(x + "n", y + "n") >= percent * F.greatest(x + "n", y + "n")
+    return sizes & (_differ(x, y) <= int(most) + 1)
 
 
 def similar(a: Column, b: Column, k: int, percent: int) -> Column:
@@ -155,28 +166,28 @@ def similar(a: Column, b: Column, k: int, percent: int) -> Column:
 
 
 def _pivots(rows: DataFrame, level: int) -> DataFrame:
-    """Nodes of two rows or more: key, size, whether mixed, and a pivot drawn anew for each level."""
-    drawn = F.min(F.struct(F.xxhash64(F.lit(level), "key", "id"), "id", "n", "lo", "hi"))
-    nodes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), drawn.alias("p"))
-    return written(
-        nodes.where("size > 1 and c0 <> c1").select(F.col("key"), "size", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.lo").alias("p_lo"), F.col("p.hi").alias("p_hi")),
-        "nodes",
-    )
+    """Nodes of more than one component: key and a pivot (p_) that is drawn anew for each level."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(level), "key", "id"), "id", "n", *BITS, "c"))
+    nodes = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), drawn.alias("p"))
+    return written(nodes.where("c0 <> c1").select("key", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("id", "n", *BITS, "c")]), "nodes")
 
 
 def _stars(live: DataFrame, percent: int) -> DataFrame:
-    near = _candidate(F.col("n"), F.col("p_n"), F.col("lo"), F.col("p_lo"), F.col("hi"), F.col("p_hi"), percent)
-    differ = F.bit_count(F.col("lo").bitwiseXOR(F.col("p_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("p_hi")))
-    return live.where((F.col("id") != F.col("p_id")) & near).select(F.col("p_id").alias("a"), F.col("id").alias("b"), differ.cast("int").alias("d"))
+    near = _candidate("", "p_", percent)
+    return live.where((F.col("c") != F.col("p_c")) & near).select(F.col("id").alias("a"), F.col("p_id").alias("b"), _differ("", "p_").alias("d"))
 
 
-def _exhaustive(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within small nodes; at most SMALL partners a row and node."""
-    left = live.where(F.col("size") <= SMALL).select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "lo", "hi", "c")])
-    right = live.where(F.col("size") <= SMALL).select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "lo", "hi", "c")])
-    near = _candidate(F.col("x_n"), F.col("y_n"), F.col("x_lo"), F.col("y_lo"), F.col("x_hi"), F.col("y_hi"), percent)
-    found = left.join(right, (left["key"] == right["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & near)
-    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+def _exhaustive(live: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, one row of which is outside the pivot's.
+
+    outside counts such rows by node; where there are few, each is compared
+    with all rows of the node, so a row has at most SMALL partners in a node.
+    """
+    few = outside.where(F.col("out") <= SMALL)
+    left = live.where("c <> p_c").join(few, "key").select("key", *[F.col(x).alias(f"x_{x}") for x in ("id", "n", *BITS, "c")])
+    right = live.select(F.col("key").alias("y_key"), *[F.col(x).alias(f"y_{x}") for x in ("id", "n", *BITS, "c")])
+    found = left.join(right, (F.col("key") == F.col("y_key")) & (F.col("x_c") != F.col("y_c")) & _candidate("x_", "y_", percent))
+    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,59 +195,69 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.drop("c").join(labels.select(F.col("node").alias("id"), F.col("component").alias("c0")), "id", "left").withColumn("c", F.coalesce("c0", "id")).drop("c0")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a")
-    return written(joined.where(similar(F.col("t_a"), F.col("t_b"), k, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+def _best(pairs: DataFrame) -> DataFrame:
+    """The most similar candidate of each row that stands first or second in a pair."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    chosen = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
 
 
-def _texts(docs: DataFrame, *pairs: DataFrame) -> DataFrame:
-    """id and text of the rows that stand in a pair."""
-    ends = [p.select(F.col(c).alias("__end")) for p in pairs for c in ("a", "b")]
-    involved = written(reduce(DataFrame.unionByName, ends).distinct(), "involved")
-    return written(docs.join(involved, F.col("__id") == F.col("__end"), "left_semi").select(F.col("__id").alias("id"), F.col("__t").alias("t")), "involved-texts")
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    ends = labels.select("node", "component")
+    named = pairs.join(ends.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left")
+    named = named.join(ends.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
+    return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "d")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are links, as u and v, by the full sets of the texts involved."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("__end")).distinct(), "ends")
+    texts = written(docs.join(ends, F.col("__id") == F.col("__end"), "left_semi").dropDuplicates(["__id", "__t"]).select(F.col("__id").alias("id"), F.col("__t").alias("t")), "texts")
+    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a")
+    return written(joined.where(similar(F.col("t_a"), F.col("t_b"), k, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links) and kept for each row of docs."""
     python_ready(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t"))
-    sketch = written(own.mapInPandas(_sketches(k), "id long, n long, set_id binary, lo long, hi long, keys array<long>, tokens binary"), "sketches")
+    sketch = written(own.mapInPandas(_sketches(k), "id long, n long, set_id binary, keys array<long>, tokens binary, " + ", ".join(f"{w} long" for w in BITS)), "sketches")
     # equal sets are one class, represented by the smallest id
     classes = written(sketch.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(classes, (sketch["set_id"] == classes["set_id"]) & (sketch["id"] == classes["rep"]), "left_semi")
     reps = reps.dropDuplicates(["id", "set_id"])
-    rows = reps.select("id", "n", "lo", "hi", F.posexplode("keys").alias("tree", "key")).withColumn("c", F.col("id"))
-    rows = rows.select("key", "tree", "id", "n", "lo", "hi", "c")
+    rows = reps.select("id", "n", *BITS, F.posexplode("keys").alias("tree", "key")).withColumn("c", F.col("id"))
+    rows = rows.select("key", "tree", "id", "n", *BITS, "c")
 
     # first round: every node's star; of its candidates a row confirms the best, so that most groups are joined already
-    live = written(rows.join(_pivots(rows, 0), "key"), "live-0")
+    live = written(rows.join(_pivots(rows, 0), "key"), "live")
     stars = written(_stars(live, percent).groupBy("a", "b").agg(F.min("d").alias("d")), "stars")
-    best = stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    best = written(best, "best")
-    links = _confirmed(best, _texts(own, best), k, percent)
+    links = _confirmed(_best(stars), own, k, percent)
     labels = written(components(links), "labels")
 
-    # second round: what is not joined yet; nodes of more than one component are compared or branch further
-    live = written(_labelled(live.select("key", "tree", "id", "n", "lo", "hi"), labels), "live-1")
+    # second round: nodes of more than one component are compared, or branch further if too many rows are outside the pivot's
+    live = written(_labelled(live.select("key", "tree", "id", "n", *BITS), labels), "live")
     tokens = reps.select("id", "tokens")
-    found = [stars.select("a", "b")]
+    found = [stars]
     for level in range(LEVELS + 1):
-        nodes = _pivots(live, level + 1)
-        live = written(live.join(nodes, "key"), f"live-{level + 2}")
-        found += [_exhaustive(live, percent), _stars(live, percent).select("a", "b")]
-        large = live.where(F.col("size") > SMALL).select("key", "tree", "id", "n", "lo", "hi", "c")
+        live = written(live.join(_pivots(live, level + 1), "key"), "live")
+        outside = written(live.where("c <> p_c").groupBy("key").agg(F.count(F.lit(1)).alias("out")), "outside")
+        found += [written(_exhaustive(live, outside, percent).unionByName(_stars(live, percent)).distinct(), "found")]
+        large = live.join(outside.where(F.col("out") > SMALL), "key", "left_semi").select("key", "tree", "id", "n", *BITS, "c")
         if level == LEVELS or large.isEmpty():
             break
         next_tokens = F.array(*[F.substring("tokens", F.pmod(F.col("tree") * STRIDE + ROOT + level * STRIDE + i, F.lit(TOKENS)) * 4 + 1, F.lit(4)) for i in range(STRIDE)])
-        live = large.join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens")
-        live = written(live, "branched")
-    rest = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ends = labels.select(F.col("node"), F.col("component"))
-    rest = rest.join(ends.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left").join(ends.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
-    rest = written(rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, _texts(own, rest), k, percent)
-        labels = written(components(links.unionByName(more)), "labels")
+        live = written(large.join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens"), "branched")
+    rest = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
+    for choose in (_best, lambda pairs: pairs):  # the best partners first: most others then fall away as joined
+        rest = written(_apart(rest, labels), "rest")
+        chosen = choose(rest)
+        if chosen.isEmpty():
+            break
+        links = links.unionByName(_confirmed(chosen, own, k, percent))
+        labels = written(components(links), "labels")
 
     members = sketch.select("id", "n", "set_id").join(classes, "set_id", "left")
     labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
