@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     The files outlive any executor, so a lost one costs no recomputation.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "none")  # mostly hashes; native codecs hold memory outside the heap for each file
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
