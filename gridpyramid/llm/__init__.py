@@ -1,10 +1,11 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this."""
 
-from . import exact_dedup, language_id, line_dedup, minhash_neardup, secret_scan, sentencepiece_codec, source_mixing, token_counts, topk_search
+from . import exact_dedup, language_id, line_dedup, minhash_neardup, secret_scan, sentencepiece_codec, source_mixing, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_minhash_neardup": minhash_neardup.op2_minhash_neardup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
