@@ -247,7 +247,7 @@ def _resolve_runs(batches):
         k1, k2, ids, pack, kind = (x[~done] for x in (g["k1"], g["k2"], g["id"], g["pack"], kind))
         if len(k1):
             group = np.cumsum(_new(k1)) - 1
-            distinct = np.bincount(group, _new(k1, k2) | (kind == ANNOUNCED))  # an announced anchor has other runs elsewhere
+            distinct = np.bincount(group, _new(k1, k2)) + 2 * np.bincount(group, kind == ANNOUNCED)  # announced: has several runs elsewhere
             row = kind == ROW
             k1, k2, ids, pack, shared = k1[row], k2[row], ids[row], pack[row], (distinct[group] > 1)[row]
             if len(k1):
