@@ -45,16 +45,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back.
 
-    The files outlive any executor, so a lost one costs no recomputation.
+    The files outlive any executor, so a lost one costs no recomputation. Most
+    tables hold hashes, and native codecs hold memory outside the heap for each
+    file, so only texts are worth a compression.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    writer = df.write.option("compression", "none")  # mostly hashes; native codecs hold memory outside the heap for each file
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,35 +7,28 @@ logarithm of the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for each node that has a link.
 
     links has columns u and v in either order; null ends, loops and repeated
     links are ignored. No links give no rows.
     """
-    now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = written(now, "links")
-    state = _state(now)
-    while state[0]:
+    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    smallest = F.min("v").over(Window.partitionBy("u"))
+    # done when no node is both a centre and a leaf, and no leaf has two centres
+    while not now.select(F.col("v").alias("u")).distinct().join(now, "u", "left_semi").isEmpty() or not now.groupBy("u").count().where("count > 1").isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # large star: larger neighbours go to the smallest of the neighbourhood
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        # small star: smaller neighbours and the node itself go to the smallest
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        before, state = state, _state(now)
-        if state == before:
-            break
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a node's smaller neighbours and the node itself go to the smallest of them; few are left for each
+        small = large.withColumn("m", smallest)
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        now = written(small.where("u <> v").distinct(), "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,11 +4,11 @@ Documents are sets of word shingles. Sets that are equal become one class.
 Independent trees branch the classes by selected minwise tokens: a node holds
 the sets that chose the same tokens on the path to it. A pair of similarity J
 stays together through d choices with probability J**d, and TREES repetitions
-bring the chance that it never meets to (1 - J**ROOT)**TREES, below one in ten
-million at J = 0.8. First every node's rows are compared with a pivot that each
-node draws. Then nodes of which few rows are outside the pivot's component are
-small: each such row is compared with all others. Nodes with more such rows
-branch further and draw again. So no node is ever collected and no large group
+bring the chance that it never meets to (1 - J**ROOT)**TREES, about one in a
+million at J = 0.8. First every node's rows are compared with the node's pivot,
+in rounds that prefer rows with many links as pivots. Then nodes of which few
+rows are outside the pivot's component are small: each such row is compared
+with all others. Nodes with more such rows branch further and draw again. So no node is ever collected and no large group
 is expanded into pairs. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are four
 standard deviations below the threshold.
 
@@ -33,9 +33,11 @@ from .common import python_ready, table, written
 from .components import components
 
 #: Independent trees, and minwise tokens that choose the root nodes of each.
-TREES, ROOT = 16, 2
+TREES, ROOT = 20, 3
 #: Nodes with up to so many rows outside the pivot's component are compared exhaustively.
-SMALL = 512
+SMALL = 64
+#: Rounds in which every row meets the pivots of its nodes.
+STAR_ROUNDS = 3
 #: Minwise tokens kept for branching, tokens a level takes, and the most levels below the root.
 TOKENS, STRIDE, LEVELS = 64, 2, 24
 SKETCH = 256
@@ -90,7 +92,7 @@ def path_keys(signature: np.ndarray) -> np.ndarray:
     tree = np.arange(TREES, dtype=np.uint64) * Mix(0x9E3779B97F4A7C15)
     keys = np.tile(tree, (len(signature), 1))
     for level in range(ROOT):
-        keys ^= signature[:, [(t * STRIDE + level) % TOKENS for t in range(TREES)]].astype(np.uint64)
+        keys ^= signature[:, [(t * ROOT + level) % TOKENS for t in range(TREES)]].astype(np.uint64)
         keys *= Mix(0xBF58476D1CE4E5B9)
         keys ^= keys >> Mix(31)
     return keys
@@ -165,34 +167,43 @@ def similar(a: Column, b: Column, k: int, percent: int) -> Column:
     return run(a, b)
 
 
-def _pivots(rows: DataFrame, level: int) -> DataFrame:
-    """Nodes of more than one component: key and a pivot (p_) that is drawn anew for each level."""
-    drawn = F.min(F.struct(F.xxhash64(F.lit(level), "key", "id"), "id", "n", *BITS, "c"))
-    nodes = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), drawn.alias("p"))
-    return written(nodes.where("c0 <> c1").select("key", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("id", "n", *BITS, "c")]), "nodes")
+def _pivots(rows: DataFrame, draw: int) -> DataFrame:
+    """Nodes of more than one component: key, a pivot (p_) and out, the number of rows outside the pivot's component.
+
+    The pivot is of the node's largest component and has the most links so far; ties are drawn anew.
+    """
+    own = F.struct("links", F.xxhash64(F.lit(draw), "key", "id").alias("drawn"), "id", "n", *BITS)
+    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"), F.max(own).alias("p"))
+    top = F.max(F.struct("size", "p.links", "p.drawn", "c", "p"))
+    nodes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), top.alias("top")).where("parts > 1")
+    columns = [F.col(f"top.p.{x}").alias(f"p_{x}") for x in ("id", "n", *BITS)]
+    return written(nodes.select("key", *columns, F.col("top.c").alias("p_c"), (F.col("total") - F.col("top.size")).alias("out")), "nodes")
 
 
 def _stars(live: DataFrame, percent: int) -> DataFrame:
     near = _candidate("", "p_", percent)
-    return live.where((F.col("c") != F.col("p_c")) & near).select(F.col("id").alias("a"), F.col("p_id").alias("b"), _differ("", "p_").alias("d"))
+    return live.where((F.col("c") != F.col("p_c")) & near).select(F.col("id").alias("a"), F.col("p_id").alias("b"), _differ("", "p_").alias("d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
-def _exhaustive(live: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
+def _exhaustive(live: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components, one row of which is outside the pivot's.
 
-    outside counts such rows by node; where there are few, each is compared
-    with all rows of the node, so a row has at most SMALL partners in a node.
+    Where there are few such rows, each is compared with all rows of the node,
+    so a row has at most SMALL partners in a node.
     """
-    few = outside.where(F.col("out") <= SMALL)
-    left = live.where("c <> p_c").join(few, "key").select("key", *[F.col(x).alias(f"x_{x}") for x in ("id", "n", *BITS, "c")])
-    right = live.select(F.col("key").alias("y_key"), *[F.col(x).alias(f"y_{x}") for x in ("id", "n", *BITS, "c")])
+    few = live.where(F.col("out") <= SMALL)
+    left = few.where("c <> p_c").select("key", *[F.col(x).alias(f"x_{x}") for x in ("id", "n", *BITS, "c")])
+    right = few.select(F.col("key").alias("y_key"), *[F.col(x).alias(f"y_{x}") for x in ("id", "n", *BITS, "c")])
     found = left.join(right, (F.col("key") == F.col("y_key")) & (F.col("x_c") != F.col("y_c")) & _candidate("x_", "y_", percent))
-    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d"))
+    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with c, the component of id so far."""
-    return rows.drop("c").join(labels.select(F.col("node").alias("id"), F.col("component").alias("c0")), "id", "left").withColumn("c", F.coalesce("c0", "id")).drop("c0")
+def _marked(rows: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with c, the component of id so far, and links, the number of its links."""
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").count()
+    known = written(labels.join(degree, "node").select(F.col("node").alias("id"), F.col("component").alias("__c"), F.col("count").alias("__n")), "marks")
+    marked = rows.drop("c", "links").join(known, "id", "left")
+    return marked.withColumn("c", F.coalesce("__c", "id")).withColumn("links", F.coalesce("__n", F.lit(0).cast("long"))).drop("__c", "__n")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -202,20 +213,20 @@ def _best(pairs: DataFrame) -> DataFrame:
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
+def _apart(pairs: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """The untested pairs whose ends are not in one component yet."""
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
     ends = labels.select("node", "component")
     named = pairs.join(ends.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left")
     named = named.join(ends.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
     return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "d")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are links, as u and v, by the full sets of the texts involved."""
-    pairs = written(pairs.select("a", "b"), "pairs")
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("__end")).distinct(), "ends")
-    texts = written(docs.join(ends, F.col("__id") == F.col("__end"), "left_semi").dropDuplicates(["__id", "__t"]).select(F.col("__id").alias("id"), F.col("__t").alias("t")), "texts")
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a")
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are links, as u and v, by the full sets of the texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = written(texts.join(ends, "id", "left_semi"), "texts", "zstd")
+    joined = pairs.join(own.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b").join(own.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a")
     return written(joined.where(similar(F.col("t_a"), F.col("t_b"), k, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
 
 
@@ -228,35 +239,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sketch.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(classes, (sketch["set_id"] == classes["set_id"]) & (sketch["id"] == classes["rep"]), "left_semi")
     reps = reps.dropDuplicates(["id", "set_id"])
-    rows = reps.select("id", "n", *BITS, F.posexplode("keys").alias("tree", "key")).withColumn("c", F.col("id"))
-    rows = rows.select("key", "tree", "id", "n", *BITS, "c")
-
-    # first round: every node's star; of its candidates a row confirms the best, so that most groups are joined already
-    live = written(rows.join(_pivots(rows, 0), "key"), "live")
-    stars = written(_stars(live, percent).groupBy("a", "b").agg(F.min("d").alias("d")), "stars")
-    links = _confirmed(_best(stars), own, k, percent)
-    labels = written(components(links), "labels")
+    rows = reps.select("id", "n", *BITS, F.posexplode("keys").alias("tree", "key")).withColumns({"c": F.col("id"), "links": F.lit(0).cast("long")})
+    shared = written(rows.groupBy("key").count().where("count > 1").select("key"), "shared")
+    rows = written(rows.join(shared, "key"), "rows")
+    # every pair to come shares a root node, so these are all the texts that are needed
+    texts = own.join(rows.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").dropDuplicates(["__id", "__t"])
+    texts = written(texts.select(F.col("__id").alias("id"), F.col("__t").alias("t")), "texts", "zstd")
+
+    # rounds of stars: each row confirms the most similar pivot that it meets
+    links, labels, tested, found = None, None, None, []
+    for draw in range(STAR_ROUNDS):
+        nodes = _pivots(rows, draw)
+        found.append(written(_stars(rows.join(nodes, "key"), percent).groupBy("a", "b").agg(F.min("d").alias("d")), "stars"))
+        open_ = reduce(DataFrame.unionByName, found)
+        chosen = written(_best(_apart(open_, labels, tested) if draw else open_).select("a", "b"), "pairs")
+        new = _confirmed(chosen, texts, k, percent)
+        links, tested = (links.unionByName(new), tested.unionByName(chosen)) if draw else (new, chosen)
+        labels = written(components(links), "labels")
+        rows = written(_marked(rows.join(nodes.select("key"), "key", "left_semi"), links, labels), "rows")
 
-    # second round: nodes of more than one component are compared, or branch further if too many rows are outside the pivot's
-    live = written(_labelled(live.select("key", "tree", "id", "n", *BITS), labels), "live")
+    # nodes that still hold several components are compared, or branch further if too many rows are outside the pivot's
     tokens = reps.select("id", "tokens")
-    found = [stars]
     for level in range(LEVELS + 1):
-        live = written(live.join(_pivots(live, level + 1), "key"), "live")
-        outside = written(live.where("c <> p_c").groupBy("key").agg(F.count(F.lit(1)).alias("out")), "outside")
-        found += [written(_exhaustive(live, outside, percent).unionByName(_stars(live, percent)).distinct(), "found")]
-        large = live.join(outside.where(F.col("out") > SMALL), "key", "left_semi").select("key", "tree", "id", "n", *BITS, "c")
+        live = written(rows.join(_pivots(rows, STAR_ROUNDS + level), "key"), "live")
+        found.append(written(_exhaustive(live, percent).unionByName(_stars(live, percent)).distinct(), "found"))
+        large = live.where(F.col("out") > SMALL).select("key", "tree", "id", "n", *BITS, "c", "links")
         if level == LEVELS or large.isEmpty():
             break
-        next_tokens = F.array(*[F.substring("tokens", F.pmod(F.col("tree") * STRIDE + ROOT + level * STRIDE + i, F.lit(TOKENS)) * 4 + 1, F.lit(4)) for i in range(STRIDE)])
-        live = written(large.join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens"), "branched")
-    rest = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
+        next_tokens = F.array(*[F.substring("tokens", F.pmod(F.col("tree") * ROOT + ROOT + level * STRIDE + i, F.lit(TOKENS)) * 4 + 1, F.lit(4)) for i in range(STRIDE)])
+        rows = written(large.join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens"), "branched")
+    rest = reduce(DataFrame.unionByName, found).distinct()
     for choose in (_best, lambda pairs: pairs):  # the best partners first: most others then fall away as joined
-        rest = written(_apart(rest, labels), "rest")
-        chosen = choose(rest)
-        if chosen.isEmpty():
+        rest = written(_apart(rest, labels, tested), "rest")
+        if rest.isEmpty():
             break
-        links = links.unionByName(_confirmed(chosen, own, k, percent))
+        chosen = written(choose(rest).select("a", "b"), "pairs")
+        links, tested = links.unionByName(_confirmed(chosen, texts, k, percent)), tested.unionByName(chosen)
         labels = written(components(links), "labels")
 
     members = sketch.select("id", "n", "set_id").join(classes, "set_id", "left")
