@@ -57,6 +57,11 @@ def written(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty(df: DataFrame) -> bool:
+    """Whether there are no rows, by one job."""
+    return not df.limit(1).count()
+
+
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Call before a plan with Python code: ships this package to the workers and bounds an Arrow batch.
 

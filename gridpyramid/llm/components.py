@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import empty, written
+
+
+def _unfinished(links: DataFrame) -> DataFrame:
+    """Nodes that are a centre and a leaf, or a leaf of two centres: stars have none."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre"))))
+    counts = links.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.leaf").alias("leaf"), F.max("e.centre").alias("centre"))
+    return counts.where("leaf + centre > 1 and leaf > 0")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,8 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     smallest = F.min("v").over(Window.partitionBy("u"))
-    # done when no node is both a centre and a leaf, and no leaf has two centres
-    while not now.select(F.col("v").alias("u")).distinct().join(now, "u", "left_semi").isEmpty() or not now.groupBy("u").count().where("count > 1").isEmpty():
+    while not empty(_unfinished(now)):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # large star: larger neighbours go to the smallest of the neighbourhood

@@ -6,10 +6,10 @@ the sets that chose the same tokens on the path to it. A pair of similarity J
 stays together through d choices with probability J**d, and TREES repetitions
 bring the chance that it never meets to (1 - J**ROOT)**TREES, about one in a
 million at J = 0.8. First every node's rows are compared with the node's pivot,
-in rounds that prefer rows with many links as pivots. Then nodes of which few
+in rounds that prefer central rows as pivots. Then nodes of which few
 rows are outside the pivot's component are small: each such row is compared
 with all others. Nodes with more such rows branch further and draw again. So no node is ever collected and no large group
-is expanded into pairs. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are four
+is expanded into pairs. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are DEVIATIONS
 standard deviations below the threshold.
 
 Rows: null texts and texts without words have the empty set and link with
@@ -21,7 +21,6 @@ read.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from functools import reduce
 
 import numpy as np
@@ -29,18 +28,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, table, written
+from .common import empty, python_ready, table, written
 from .components import components
 
 #: Independent trees, and minwise tokens that choose the root nodes of each.
 TREES, ROOT = 20, 3
 #: Nodes with up to so many rows outside the pivot's component are compared exhaustively.
-SMALL = 64
+SMALL = 128
 #: Rounds in which every row meets the pivots of its nodes.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Minwise tokens kept for branching, tokens a level takes, and the most levels below the root.
 TOKENS, STRIDE, LEVELS = 64, 2, 24
-SKETCH = 256
+SKETCH = 1024
+#: Standard deviations below the threshold at which the sketch drops a pair: of links just at it, one in four thousand.
+DEVIATIONS = 3.5
 #: The sketch as columns of 64 bits.
 BITS = [f"w{i}" for i in range(SKETCH // 64)]
 SEED = 20240229
@@ -136,45 +137,42 @@ def _differ(x: str, y: str) -> Column:
 def _candidate(x: str, y: str, percent: int) -> Column:
     """Whether two sets may be similar enough, by their sizes and sketches."""
     half = (1 - percent / 100) / 2
-    most = SKETCH * half + 4 * (SKETCH * half * (1 - half)) ** 0.5
+    most = SKETCH * half + DEVIATIONS * (SKETCH * half * (1 - half)) ** 0.5
     sizes = 100 * F.least(x + "n", y + "n") >= percent * F.greatest(x + "n", y + "n")
     return sizes & (_differ(x, y) <= int(most) + 1)
 
 
-def similar(a: Column, b: Column, k: int, percent: int) -> Column:
-    """Whether two texts' full sets have 100 * intersection >= percent * union."""
+def similar(a: Column, b: Column, percent: int) -> Column:
+    """Whether two full sets (sorted 64-bit shingles) have 100 * intersection >= percent * union."""
 
     @F.pandas_udf("boolean")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        recent: OrderedDict[str, np.ndarray] = OrderedDict()
-
-        def known(text):
-            if text in recent:
-                recent.move_to_end(text)
-            else:
-                recent[text] = shingles(text, k)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return recent[text]
-
         out = []
         for x, y in zip(left, right):
-            s, t = known(x), known(y)
-            both = len(s) + len(t) - len(np.union1d(s, t))
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out, dtype=bool)
 
     return run(a, b)
 
 
+def _sets(k: int):
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["__id"], "t": [shingles(t, k).tobytes() for t in pdf["__t"]]})
+
+    return run
+
+
 def _pivots(rows: DataFrame, draw: int) -> DataFrame:
     """Nodes of more than one component: key, a pivot (p_) and out, the number of rows outside the pivot's component.
 
-    The pivot is of the node's largest component and has the most links so far; ties are drawn anew.
+    The pivot is of the node's largest component and the most central of it so far; ties are drawn anew.
     """
-    own = F.struct("links", F.xxhash64(F.lit(draw), "key", "id").alias("drawn"), "id", "n", *BITS)
+    own = F.struct("central", F.xxhash64(F.lit(draw), "key", "id").alias("drawn"), "id", "n", *BITS)
     parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"), F.max(own).alias("p"))
-    top = F.max(F.struct("size", "p.links", "p.drawn", "c", "p"))
+    top = F.max(F.struct("size", "p.central", "p.drawn", "c", "p"))
     nodes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), top.alias("top")).where("parts > 1")
     columns = [F.col(f"top.p.{x}").alias(f"p_{x}") for x in ("id", "n", *BITS)]
     return written(nodes.select("key", *columns, F.col("top.c").alias("p_c"), (F.col("total") - F.col("top.size")).alias("out")), "nodes")
@@ -198,12 +196,13 @@ def _exhaustive(live: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
-def _marked(rows: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with c, the component of id so far, and links, the number of its links."""
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").count()
-    known = written(labels.join(degree, "node").select(F.col("node").alias("id"), F.col("component").alias("__c"), F.col("count").alias("__n")), "marks")
-    marked = rows.drop("c", "links").join(known, "id", "left")
-    return marked.withColumn("c", F.coalesce("__c", "id")).withColumn("links", F.coalesce("__n", F.lit(0).cast("long"))).drop("__c", "__n")
+def _marked(rows: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with c, the component of id so far, and central, how near it is to others on average in the pairs met so far."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("met"))
+    ends = ends.select("id", F.when(F.col("met") >= 3, -F.col("mean")).otherwise(-float(SKETCH)).alias("__n"))
+    known = written(ends.join(labels.select(F.col("node").alias("id"), F.col("component").alias("__c")), "id", "left"), "marks")
+    marked = rows.drop("c", "central").join(known, "id", "left")
+    return marked.withColumn("c", F.coalesce("__c", "id")).withColumn("central", F.coalesce("__n", F.lit(-float(SKETCH)))).drop("__c", "__n")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -222,12 +221,12 @@ def _apart(pairs: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "d")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are links, as u and v, by the full sets of the texts."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links, as u and v, by the full sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = written(texts.join(ends, "id", "left_semi"), "texts", "zstd")
+    own = written(sets.join(ends, "id", "left_semi"), "involved")
     joined = pairs.join(own.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b").join(own.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a")
-    return written(joined.where(similar(F.col("t_a"), F.col("t_b"), k, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+    return written(joined.where(similar(F.col("t_a"), F.col("t_b"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -239,12 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sketch.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(classes, (sketch["set_id"] == classes["set_id"]) & (sketch["id"] == classes["rep"]), "left_semi")
     reps = reps.dropDuplicates(["id", "set_id"])
-    rows = reps.select("id", "n", *BITS, F.posexplode("keys").alias("tree", "key")).withColumns({"c": F.col("id"), "links": F.lit(0).cast("long")})
-    shared = written(rows.groupBy("key").count().where("count > 1").select("key"), "shared")
-    rows = written(rows.join(shared, "key"), "rows")
+    nodes = reps.select("id", F.posexplode("keys").alias("tree", "key"))
+    shared = written(nodes.groupBy("key").count().where("count > 1").select("key"), "shared")
+    nodes = written(nodes.join(shared, "key"), "nodes")
+    rows = nodes.join(reps.select("id", "n", *BITS), "id").withColumns({"c": F.col("id"), "central": F.lit(-float(SKETCH))})
+    rows = written(rows.select("key", "tree", "id", "n", *BITS, "c", "central"), "rows")
     # every pair to come shares a root node, so these are all the texts that are needed
-    texts = own.join(rows.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").dropDuplicates(["__id", "__t"])
-    texts = written(texts.select(F.col("__id").alias("id"), F.col("__t").alias("t")), "texts", "zstd")
+    sets = own.join(nodes.select(F.col("id").alias("__id")).distinct().hint("merge"), "__id", "left_semi").dropDuplicates(["__id", "__t"])
+    sets = written(sets.mapInPandas(_sets(k), "id long, t binary"), "sets")
 
     # rounds of stars: each row confirms the most similar pivot that it meets
     links, labels, tested, found = None, None, None, []
@@ -253,28 +254,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found.append(written(_stars(rows.join(nodes, "key"), percent).groupBy("a", "b").agg(F.min("d").alias("d")), "stars"))
         open_ = reduce(DataFrame.unionByName, found)
         chosen = written(_best(_apart(open_, labels, tested) if draw else open_).select("a", "b"), "pairs")
-        new = _confirmed(chosen, texts, k, percent)
+        new = _confirmed(chosen, sets, percent)
         links, tested = (links.unionByName(new), tested.unionByName(chosen)) if draw else (new, chosen)
         labels = written(components(links), "labels")
-        rows = written(_marked(rows.join(nodes.select("key"), "key", "left_semi"), links, labels), "rows")
+        rows = written(_marked(rows.join(nodes.select("key"), "key", "left_semi"), open_, labels), "rows")
 
     # nodes that still hold several components are compared, or branch further if too many rows are outside the pivot's
     tokens = reps.select("id", "tokens")
     for level in range(LEVELS + 1):
         live = written(rows.join(_pivots(rows, STAR_ROUNDS + level), "key"), "live")
         found.append(written(_exhaustive(live, percent).unionByName(_stars(live, percent)).distinct(), "found"))
-        large = live.where(F.col("out") > SMALL).select("key", "tree", "id", "n", *BITS, "c", "links")
-        if level == LEVELS or large.isEmpty():
+        large = live.where(F.col("out") > SMALL).select("key", "tree", "id", "n", *BITS, "c", "central")
+        if level == LEVELS or empty(large):
             break
         next_tokens = F.array(*[F.substring("tokens", F.pmod(F.col("tree") * ROOT + ROOT + level * STRIDE + i, F.lit(TOKENS)) * 4 + 1, F.lit(4)) for i in range(STRIDE)])
         rows = written(large.join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens"), "branched")
     rest = reduce(DataFrame.unionByName, found).distinct()
     for choose in (_best, lambda pairs: pairs):  # the best partners first: most others then fall away as joined
         rest = written(_apart(rest, labels, tested), "rest")
-        if rest.isEmpty():
+        if empty(rest):
             break
         chosen = written(choose(rest).select("a", "b"), "pairs")
-        links, tested = links.unionByName(_confirmed(chosen, texts, k, percent)), tested.unionByName(chosen)
+        links, tested = links.unionByName(_confirmed(chosen, sets, percent)), tested.unionByName(chosen)
         labels = written(components(links), "labels")
 
     members = sketch.select("id", "n", "set_id").join(classes, "set_id", "left")
