@@ -141,6 +141,25 @@ def range_report(points: DataFrame, bands: list[Column], encoding: Encoding) ->
     return shown.agg(*found, F.count(F.lit(1)).alias("total"), F.count_if(encoding.clips(*[F.col(f"v{i}") for i in range(len(bands))])).alias("clipped"))
 
 
+def sample_points(at: DataFrame, nodes: DataFrame, key: str, parts: int, nearest: bool = False) -> DataFrame:
+    """key, weighted and weight (long): sums over the present nodes around points at px, py (in parts of a cell).
+
+    The relational form of bilinear(): four rows a point and an equi-join;
+    weighted / weight is the sample. Points without a node around give no row.
+    """
+    whole = lambda c: F.expr(f"{c} div {parts}")
+    part = lambda c: F.col(c) % parts
+    corners = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)]))
+
+    def weight(c, d):
+        w = F.when(part(c) * 2 >= parts, parts).otherwise(0) if nearest else part(c)
+        return F.when(F.col(f"__d.{d}") == 1, w).otherwise(parts - w)
+
+    around = at.withColumn("__d", corners).select(key, (whole("px") + F.col("__d.dx")).cast("int").alias("x"), (whole("py") + F.col("__d.dy")).cast("int").alias("y"), (weight("px", "dx") * weight("py", "dy")).alias("w"))
+    found = around.join(nodes, ["x", "y"]).groupBy(key).agg(F.sum(F.col("w") * F.col("b0")).alias("weighted"), F.sum("w").alias("weight"))
+    return found.where("weight > 0")
+
+
 def bilinear(lattice: np.ndarray, x: np.ndarray, y: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Samples of a lattice (rows, columns, bands; NaN where missing) and whether the nearest node is present.
 

@@ -181,7 +181,7 @@ def _zooms(zooms, detail: int) -> str:
 def _pyramid(source: str, table: str, group: str, zooms, detail: int, bands: dict[str, str]) -> str:
     aggregates = ", ".join(f"{_AGG[how].format(b=b)} as {b}, count({b}) as n_{b}" for b, how in bands.items())
     return f"""with {source}, {_zooms(zooms, detail)}
-select {group}, z, (x >> s) << s as gx, (y >> s) << s as gy, {aggregates}, cast(max(greatest(power, s)) as int) as power from {table} cross join zooms group by {group}, z, 3 + {group.count(',')}, 4 + {group.count(',')}"""
+select {group}, z, (x >> s) << s as gx, (y >> s) << s as gy, {aggregates}, cast(max(greatest(power, s)) as int) as power from {table} cross join zooms group by all"""
 
 
 def _pyramid_query(name, points, source, table, group, zooms, detail, bands):
@@ -441,27 +441,20 @@ def raster_clip_report(spark, sf_dir):
 
 
 def _samples(nearest: bool) -> str:
-    weight = "floor(f{0} + 0.5e0)" if nearest else "f{0}"
-    return f"""with {DENSE}, p as (select event_id, (event_id * 37 % 6300) / 100.0e0 as px, (user_id * 53 % 40000) / 100.0e0 as py from events),
-  w as (select *, px - floor(px) as fx, py - floor(py) as fy from p),
-  n as (select event_id, cast(floor(px) as int) + dx as nx, cast(floor(py) as int) + dy as ny, (case when dx = 1 then {weight.format('x')} else 1 - {weight.format('x')} end) * (case when dy = 1 then {weight.format('y')} else 1 - {weight.format('y')} end) as wt
+    weight = "((f{0} + 50) // 100 * 100)" if nearest else "f{0}"
+    return f"""with {DENSE}, p as (select event_id, event_id * 37 % 6300 as px, user_id * 53 % 40000 as py from events),
+  w as (select *, px % 100 as fx, py % 100 as fy from p),
+  n as (select event_id, px // 100 + dx as nx, py // 100 + dy as ny, (case when dx = 1 then {weight.format('x')} else 100 - {weight.format('x')} end) * (case when dy = 1 then {weight.format('y')} else 100 - {weight.format('y')} end) as wt
     from w cross join (values (0), (1)) a(dx) cross join (values (0), (1)) b(dy)),
-  s as (select event_id, sum(wt * b0) as a, sum(wt) as t from n join dense on nx = x and ny = y group by 1)
-select event_id, cast(floor(a / t * 1000 + 0.5e0) as bigint) as value from s where t > 0"""
+  s as (select event_id, cast(sum(wt * b0) as bigint) as a, cast(sum(wt) as bigint) as t from n join dense on nx = x and ny = y group by 1)
+select event_id, cast(floor(a * 1000.0e0 / t + 0.5e0) as bigint) as value from s where t > 0"""
 
 
 def _sampled(spark, sf_dir, nearest):
+    """Positions in hundredths of a cell, so that the sums are whole numbers."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    at = events.select("event_id", ((F.col("event_id") * 37 % 6300) / 100.0).alias("px"), ((F.col("user_id") * 53 % 40000) / 100.0).alias("py"))
-    at = at.withColumns({"fx": F.col("px") - F.floor("px"), "fy": F.col("py") - F.floor("py")})
-    if nearest:
-        at = at.withColumns({"fx": F.floor(F.col("fx") + 0.5).cast("double"), "fy": F.floor(F.col("fy") + 0.5).cast("double")})
-    corner = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)]))
-    nodes = at.withColumn("__d", corner)
-    side = lambda d, f: F.when(F.col(f"__d.{d}") == 1, F.col(f)).otherwise(1 - F.col(f))
-    nodes = nodes.select("event_id", (F.floor("px") + F.col("__d.dx")).cast("int").alias("x"), (F.floor("py") + F.col("__d.dy")).cast("int").alias("y"), (side("dx", "fx") * side("dy", "fy")).alias("wt"))
-    found = nodes.join(D.dense(spark, sf_dir).select("x", "y", "b0"), ["x", "y"]).groupBy("event_id").agg(F.sum(F.col("wt") * F.col("b0")).alias("a"), F.sum("wt").alias("t"))
-    return found.where("t > 0").select("event_id", F.floor(F.col("a") / F.col("t") * 1000 + 0.5).alias("value"))
+    at = events.select("event_id", (F.col("event_id") * 37 % 6300).alias("px"), (F.col("user_id") * 53 % 40000).alias("py"))
+    return R.sample_points(at, D.dense(spark, sf_dir).select("x", "y", "b0"), "event_id", 100, nearest).select("event_id", F.floor(F.col("weighted") * 1000.0 / F.col("weight") + 0.5).alias("value"))
 
 
 @query("raster_sample_bilinear", _samples(False))
