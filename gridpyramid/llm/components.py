@@ -20,8 +20,8 @@ def _unfinished(links: DataFrame) -> DataFrame:
     return counts.where("leaf + centre > 1 and leaf > 0")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable) for each node that has a link.
+def leaves(links: DataFrame) -> DataFrame:
+    """node and component (the smallest node reachable) for each node with links but the smallest of its component.
 
     links has columns u and v in either order; null ends, loops and repeated
     links are ignored. No links give no rows.
@@ -37,4 +37,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.withColumn("m", smallest)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = written(small.where("u <> v").distinct(), "links")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and component for each node that has a link, the smallest included."""
+    found = leaves(links)
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

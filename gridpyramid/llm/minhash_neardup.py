@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import empty, python_ready, table, written
-from .components import components
+from .components import leaves
 
 #: Independent trees, and minwise tokens that choose the root nodes of each.
 TREES, ROOT = 20, 3
 #: Nodes with up to so many rows outside the pivot's component are compared exhaustively.
-SMALL = 128
+SMALL = 64
 #: Rounds in which every row meets the pivots of its nodes.
 STAR_ROUNDS = 2
 #: Minwise tokens kept for branching, tokens a level takes, and the most levels below the root.
@@ -200,7 +200,7 @@ def _marked(rows: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with c, the component of id so far, and central, how near it is to others on average in the pairs met so far."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("met"))
     ends = ends.select("id", F.when(F.col("met") >= 3, -F.col("mean")).otherwise(-float(SKETCH)).alias("__n"))
-    known = written(ends.join(labels.select(F.col("node").alias("id"), F.col("component").alias("__c")), "id", "left"), "marks")
+    known = ends.join(labels.select(F.col("node").alias("id"), F.col("component").alias("__c")), "id", "left")
     marked = rows.drop("c", "central").join(known, "id", "left")
     return marked.withColumn("c", F.coalesce("__c", "id")).withColumn("central", F.coalesce("__n", F.lit(-float(SKETCH)))).drop("__c", "__n")
 
@@ -218,7 +218,7 @@ def _apart(pairs: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     ends = labels.select("node", "component")
     named = pairs.join(ends.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left")
     named = named.join(ends.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
-    return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "d")
+    return named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,27 +256,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen = written(_best(_apart(open_, labels, tested) if draw else open_).select("a", "b"), "pairs")
         new = _confirmed(chosen, sets, percent)
         links, tested = (links.unionByName(new), tested.unionByName(chosen)) if draw else (new, chosen)
-        labels = written(components(links), "labels")
+        labels = leaves(links)
         rows = written(_marked(rows.join(nodes.select("key"), "key", "left_semi"), open_, labels), "rows")
 
     # nodes that still hold several components are compared, or branch further if too many rows are outside the pivot's
     tokens = reps.select("id", "tokens")
     for level in range(LEVELS + 1):
-        live = written(rows.join(_pivots(rows, STAR_ROUNDS + level), "key"), "live")
-        found.append(written(_exhaustive(live, percent).unionByName(_stars(live, percent)).distinct(), "found"))
-        large = live.where(F.col("out") > SMALL).select("key", "tree", "id", "n", *BITS, "c", "central")
+        nodes = _pivots(rows, STAR_ROUNDS + level)
+        found += [_exhaustive(rows.join(nodes.select("key", "p_c", "out"), "key"), percent), _stars(rows.join(nodes, "key"), percent)]
+        large = nodes.where(F.col("out") > SMALL).select("key")
         if level == LEVELS or empty(large):
             break
         next_tokens = F.array(*[F.substring("tokens", F.pmod(F.col("tree") * ROOT + ROOT + level * STRIDE + i, F.lit(TOKENS)) * 4 + 1, F.lit(4)) for i in range(STRIDE)])
-        rows = written(large.join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens"), "branched")
-    rest = reduce(DataFrame.unionByName, found).distinct()
-    for choose in (_best, lambda pairs: pairs):  # the best partners first: most others then fall away as joined
-        rest = written(_apart(rest, labels, tested), "rest")
-        if empty(rest):
-            break
-        chosen = written(choose(rest).select("a", "b"), "pairs")
-        links, tested = links.unionByName(_confirmed(chosen, sets, percent)), tested.unionByName(chosen)
-        labels = written(components(links), "labels")
+        branched = rows.join(large, "key", "left_semi").join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens")
+        rows = written(branched.select("key", "tree", "id", "n", *BITS, "c", "central"), "branched")
+    rest = written(_apart(reduce(DataFrame.unionByName, found).select("a", "b").distinct(), labels, tested), "rest")
+    if not empty(rest):
+        labels = leaves(links.unionByName(_confirmed(rest, sets, percent)))
 
     members = sketch.select("id", "n", "set_id").join(classes, "set_id", "left")
     labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
