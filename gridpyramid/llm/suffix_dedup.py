@@ -146,6 +146,8 @@ def _deal_runs(batches):
 
     def flush():
         k1, k2, ids, at, n, o = (np.concatenate(x) for x in zip(*held))
+        if not len(k2):
+            return []
         parts = []
         order = np.argsort(k2, kind="stable")
         s = k2[order]
