@@ -359,3 +359,16 @@ def surface_parse(suffix: Column) -> Column:
     value = F.when(number != "", number).when(depth != "", depth).cast("int")
     factor = F.when(depth != "", F.regexp_extract(suffix, r"^dsl\d+p(\d+)$", 1)).cast("int")
     return F.when(kind.isNotNull(), F.struct(kind.alias("type"), value.alias("value"), factor.alias("factor")))
+
+
+def level_descriptor(kind: str | None, value: int | None = None, factor: int | None = 0) -> dict | None:
+    """The level of a field as published; the factor is a negative power of ten."""
+    scaled = None if value is None else value * 10.0 ** -(factor or 0)
+    if kind in (None, "none"):
+        return None
+    if kind in ("altitude", "isobaric", "depth"):
+        name, unit = {"altitude": ("height", "m"), "isobaric": ("isobaric", "Pa"), "depth": ("depth-below-sea-level", "m")}[kind]
+        return {"type": name, "value": scaled, "unit": unit}
+    if kind == "tank":
+        return {"type": "tank", "value": value}
+    return {"type": {"msl": "mean-sea-level"}.get(kind, kind)}

@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.catalog import Grid, grid_of, products
+from ..functions.catalog import Grid, grid_of, level_descriptor, products
 from ..functions.geo import centre_zoom, normalised_bounds
 from ..operators import pyramid as P
 from ..operators import quantize as Q
@@ -52,7 +52,7 @@ class ConvertOptions:
     omit_zero: bool = False
     raster: str | None = None
     manifest: str | None = None
-    tile_local: bool = True
+    level: tuple[str, int | None, int | None] | None = None
     scales: dict[str, Q.Scale] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -191,7 +191,7 @@ def raster_encoding(p: Prepared, options: ConvertOptions) -> dict:
         "image_size": R.IMAGE,
         "bands": p.names[: encoding.bands],
         "sampling": {"filter": "nearest" if p.quantize else "bilinear"},
-        "level": None,
+        "level": level_descriptor(*options.level) if options.level else None,
     }
     if encoding.kind == "vector-field":
         found |= {"components": ["eastward", "northward"], "units": "m/s"}

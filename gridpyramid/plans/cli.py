@@ -14,9 +14,9 @@ from ..sources import grib2
 from .api import ConvertOptions, convert
 
 
-def grib_points(spark: SparkSession, path: str, selector: str, missing_band: str = "zero") -> DataFrame:
-    """The canonical relation of one product of GRIB2 files."""
-    g = grid_of(selector)
+def grib_points(spark: SparkSession, path: str, selector: str, missing_band: str = "zero", isobaric: int | None = None) -> DataFrame:
+    """The canonical relation of one product of GRIB2 files, on its configured grid (for a pressure level, if isobaric is one)."""
+    g = grid_of(selector, isobaric)
     raw = grib2.read(spark, path, g.lng_0, g.lat_0, g.lng_denom, g.lat_denom)
     heads = raw.select("path", "header_id", "background", "category", "number", "statistic", "cutoff_hours", "forecast_time", "process_type", "lo2").distinct()
     heads = heads.withColumn("__key", F.struct("path", "header_id"))

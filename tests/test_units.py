@@ -73,6 +73,12 @@ def test_surfaces_round_trip(spark):
     assert column(spark, ["zzz"], catalog.surface_parse, "string") == [None]
 
 
+def test_level_descriptor():
+    assert catalog.level_descriptor("isobaric", 850, -2) == {"type": "isobaric", "value": 85000.0, "unit": "Pa"}
+    assert catalog.level_descriptor("altitude", 15, 1) == {"type": "height", "value": 1.5, "unit": "m"}
+    assert catalog.level_descriptor("msl") == {"type": "mean-sea-level"} and catalog.level_descriptor("none") is None
+
+
 def test_selection_helpers():
     assert S.renamed(["u", "v"], ["u=a", "a=b"]) == ["b", "v"]
     for bad in (["x=y"], ["u=v"], ["u="], ["u"]):
