@@ -1,7 +1,7 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
-Vectors are quantised to integers. Candidates are cut into blocks of
-consecutive ids; a block keeps the largest and smallest value of each
+Vectors are quantised to integers. Candidates are dealt to shards by a hash of
+the id; a shard's are cut into blocks of ranges of ids; a block keeps the largest and smallest value of each
 dimension (the term maxima) and its rows (the forward index). Over a block no
 score can exceed
 
@@ -100,15 +100,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     total = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     shards, groups = max(1, -(-total[0] // SHARD_ROWS)), max(1, -(-total[1] // GROUP_ROWS))
-    # ranges of ids; the cut points come from a sample, so no shard is left with more than a small multiple of its share
-    edges = sorted(set(rows.approxQuantile("id", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 and total[0] else []
-    shard = F.lit(0)
-    if edges:
-        shard = F.array_position(F.transform(F.array([F.lit(int(e)) for e in edges]), lambda e: F.col("id") <= e), F.lit(True)).cast("int")
-        shard = F.when(shard == 0, F.lit(len(edges))).otherwise(shard - 1)
+    shard = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")
     blocks = rows.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "id", "v")
     asked = rows.where("q").select(
-        F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "id", "v"
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "id", "v"
     )
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
