@@ -27,11 +27,13 @@ from .common import python_ready, table
 #: The classifier is fitted on about this many labelled rows, chosen by a hash of the text.
 SAMPLE_ROWS = 6000
 #: Most words, and n-grams of each order, that the model keeps for one language.
-TOP_WORDS, TOP_GRAMS = 30_000, 8_000
+TOP_WORDS, TOP_GRAMS = 20_000, 6_000
 #: Orders of the back-off, and the factor that each step down costs.
 ORDERS, BACKOFF = (4, 3, 2, 1), 0.4
 #: Words of which a worker remembers the scores, and the longest such word.
-MEMORY, LONGEST = 150_000, 40
+MEMORY, LONGEST = 60_000, 40
+#: Counts that a training task holds before it passes them on.
+TALLIED = 150_000
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -120,7 +122,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
                     for order in ORDERS:
                         for g in grams(w, order):
                             counts[lang, order, g] += n
-            if len(counts) > MEMORY:
+            if len(counts) > TALLIED:
                 yield frame(counts)
                 counts = Counter()
         yield frame(counts)
