@@ -16,6 +16,9 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_minhash_neardup": minhash_neardup.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op5_secret_scan": secret_scan.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_topk_search": topk_search.SQL,
     "op8_source_mixing": source_mixing.SQL,

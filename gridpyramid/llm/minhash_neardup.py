@@ -14,9 +14,11 @@ standard deviations below the threshold.
 
 Rows: null texts and texts without words have the empty set and link with
 nothing; shorter texts than a shingle are one shingle; rows with a null id take
-no part and are kept with a null component; rows that share an id are one node;
-texts are read whole; an empty table gives no rows. Other columns are never
-read.
+no part and are kept with a null component; rows that share an id are one node
+for links and each keep the class of their own text; texts are read whole; an
+empty table gives no rows. Other columns are never read. Nodes that stay large
+after all tokens are used hold sets that agree in each of them, so nearly equal
+ones, which the pivots have joined already.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty, python_ready, table, written
+from .common import LOWER, UPPER, empty, python_ready, table, written
 from .components import leaves
 
 #: Independent trees, and minwise tokens that choose the root nodes of each.
@@ -284,3 +286,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_minhash_neardup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x AND e.y > r.root
+), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

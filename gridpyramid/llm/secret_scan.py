@@ -141,3 +141,41 @@ def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op5_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def _sql() -> str:
+    """The same in DuckDB, whose patterns have no back references and fold more letters."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    assign = f"({words})" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = "['assign', 'access', 'hex', 'entropy']"
+
+    def pieces(name: str, pattern: str, group: int = 0) -> str:
+        return f"regexp_extract_all(t, '{pattern}', 0) AS {name}m, regexp_extract_all(t, '{pattern}', {group}) AS {name}t, string_split_regex(t, '{pattern}') AS {name}g"
+
+    def placed(name: str, kind: int, least: int = 0) -> str:
+        before = f"list_sum(list_transform({name}g[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform({name}m[1:i - 1], lambda g: length(g))), 0)"
+        return f"list_transform(range(1, len({name}m) + 1), lambda i: {{'s': CAST({before} AS BIGINT), 'k': {kind}, 'n': length({name}m[i]), 'm': {name}m[i], 'ok': length({name}t[i]) >= {least}}})"
+
+    allowed = " OR ".join(f"regexp_matches(r.m, '{p}')" for p in ALLOW if "\\1" not in p)
+    allowed += " OR list_bool_or(list_transform(range(1, length(r.m) - 6), lambda i: substr(r.m, i, 8) = repeat(substr(r.m, i, 1), 8)))"
+    runs, dense = [], []
+    for n, (chars, window, least) in enumerate(CLASSES):
+        runs.append(pieces(f"e{n}", f"{chars}{{{window},}}"))
+        fresh = f"list_filter({placed(f'e{n}', 3)}, lambda r: NOT ({allowed}) AND len(list_filter(b, lambda o: o.s < r.s + r.n AND r.s < o.s + o.n)) = 0)"
+        hits = f"list_filter(range(0, r.n - {window - 1}), lambda i: list_entropy(string_split(substr(r.m, i + 1, {window}), '')) >= {least} - 1e-10)"
+        found = f"list_filter(list_transform({fresh}, lambda r: {{'s': r.s, 'hits': {hits}}}), lambda h: len(h.hits) > 0)"
+        dense.append(f"list_transform({found}, lambda h: {{'s': h.s + h.hits[1], 'k': 3, 'e': h.s + h.hits[-1] + {window}}})")
+    shown = lambda spans: f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda r: {kinds}[r.k + 1] || ':' || r.s || ':' || r.e), ','), '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), f AS (SELECT doc_id, {pieces('p', assign, 2)}, {pieces('q', ACCESS)}, {pieces('y', HEX)}, {', '.join(runs)} FROM d
+), g AS (SELECT *, list_filter({placed('p', 0, 6)}, lambda r: r.ok) AS a, {placed('q', 1)} AS k, {placed('y', 2)} AS x FROM f
+), h AS (SELECT *, list_concat(list_concat(a, k), x) AS b FROM g
+), e AS (SELECT *, list_transform(b, lambda r: {{'s': r.s, 'k': r.k, 'e': r.s + r.n}}) AS base, list_distinct(list_concat({', '.join(dense)})) AS more FROM h)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(k) AS BIGINT) AS n_access, CAST(len(x) AS BIGINT) AS n_hex,
+  sha256({shown('base')}) AS base_sha256, {shown('list_concat(base, more)')} AS spans FROM e
+"""
+
+
+SQL = _sql()
