@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets are one class, represented by the smallest id
     classes = written(sketch.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(classes, (sketch["set_id"] == classes["set_id"]) & (sketch["id"] == classes["rep"]), "left_semi")
-    reps = reps.dropDuplicates(["id", "set_id"])
+    reps = written(reps.dropDuplicates(["id", "set_id"]).select("id", "n", "keys", "tokens", *BITS), "representatives")
     nodes = reps.select("id", F.posexplode("keys").alias("tree", "key"))
     shared = written(nodes.groupBy("key").count().where("count > 1").select("key"), "shared")
     nodes = written(nodes.join(shared, "key"), "nodes")
