@@ -328,6 +328,22 @@ def process_name(code: Column) -> Column:
     return out
 
 
+def process_code(name: Column) -> Column:
+    """The inverse: the code of a name, `other-n` included; missing (255) for unknown names."""
+    number = F.regexp_extract(name, r"^other-(\d{1,3})$", 1).try_cast("int")
+    out = F.when(number <= 255, number).otherwise(255)
+    for k, v in PROCESSES.items():
+        out = F.when(name == v, k).otherwise(out)
+    return out
+
+
+def known_selectors(selectors: DataFrame) -> DataFrame:
+    """selectors with aggregation and n_bands of the catalog, Unknown and null where it has no such product."""
+    rows = [(p.selector, p.aggregation, len(p.bands)) for p in products().values()]
+    known = selectors.sparkSession.createDataFrame(rows, "selector string, aggregation string, n_bands int")
+    return selectors.join(F.broadcast(known), "selector", "left").withColumn("aggregation", F.coalesce("aggregation", F.lit("Unknown")))
+
+
 def surface_suffix(kind: Column, value: Column, factor: Column) -> Column:
     """The surface part of a product's path, null without a surface."""
     shown = value.cast("string")

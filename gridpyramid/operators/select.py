@@ -23,9 +23,20 @@ def lead_minutes() -> Column:
     return F.timestamp_diff("MINUTE", F.col("reference_time"), F.col("valid_time"))
 
 
-def path() -> Column:
-    """process/kind/reference/valid"""
-    return F.concat_ws("/", "process", "selector", F.date_format("reference_time", STAMP), F.date_format("valid_time", STAMP))
+def path(surface: Column | None = None, variant: Column | None = None, ensemble: Column | None = None) -> Column:
+    """process/kind/reference/valid[_surface][_value][_variant][-ens…]
+
+    The selector is kind or kind/value. surface and variant are strings and
+    ensemble is struct(type, number); each may be null.
+    """
+    kind, value = F.split_part(F.col("selector"), F.lit("/"), F.lit(1)), F.split_part(F.col("selector"), F.lit("/"), F.lit(2))
+    parts = [F.concat_ws("/", "process", kind, F.date_format("reference_time", STAMP), F.date_format("valid_time", STAMP))]
+    for part in (surface, F.when(value != "", value), variant):
+        if part is not None:
+            parts.append(F.coalesce(F.concat(F.lit("_"), part), F.lit("")))
+    if ensemble is not None:
+        parts.append(F.coalesce(F.concat(F.lit("-ens"), ensemble["type"].cast("string"), F.lit("-"), ensemble["number"].cast("string")), F.lit("")))
+    return F.concat(*parts)
 
 
 def list_products(points: DataFrame) -> DataFrame:

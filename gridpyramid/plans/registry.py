@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
 
 # -- selection -------------------------------------------------------------
 
-PATH = "process || '/' || selector || '/' || strftime(reference_time, '%Y%m%d%H%M') || '/' || strftime(valid_time, '%Y%m%d%H%M')"
+PATH = "process || '/' || split_part(selector, '/', 1) || '/' || strftime(reference_time, '%Y%m%d%H%M') || '/' || strftime(valid_time, '%Y%m%d%H%M') || case when split_part(selector, '/', 2) <> '' then '_' || split_part(selector, '/', 2) else '' end"
 PRODUCTS = f"{SPARSE}, k as (select distinct selector, reference_time, valid_time, process from sparse)"
 MINUTES = "datediff('minute', reference_time, valid_time)"
 
@@ -61,6 +61,43 @@ def product_path(spark, sf_dir):
     return S.product_keys(D.sparse(spark, sf_dir)).select("selector", "valid_time", S.path().alias("path"))
 
 
+_LEVELS = """select event_id, 'gsm/temp' as selector, timestamp '2024-01-01 00:00:00' as reference_time, cast(ts as timestamp) as valid_time, 'ens-forecast' as process,
+  cast(list_element([255, 1, 3, 100, 101, 103, 160, 200, 201], event_id % 9 + 1) as int) as code, cast(user_id as int) as v, cast(event_id % 3 as int) as f from events"""
+_SUFFIX = "case code when 1 then 'surf' when 3 then 'ct' when 100 then 'p' || v when 101 then 'msl' when 103 then 'alt' || v when 160 then 'dsl' || v || 'p' || f when 200 then 'tank-total' when 201 then 'tank-' || v end"
+
+
+def _levels(spark, sf_dir):
+    text = _LEVELS.replace("list_element([", "element_at(array(").replace("], event_id % 9 + 1", "), cast(event_id % 9 + 1 as int)")
+    rows = spark.sql(text.replace("from events", "from {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return rows.withColumn("suffix", C.surface_suffix(C.surface_type(F.col("code")), F.col("v"), F.col("f")))
+
+
+@query("product_path_full", f"with l as ({_LEVELS}), s as (select *, {_SUFFIX} as suffix from l) select event_id, process || '/gsm/202401010000/' || strftime(valid_time, '%Y%m%d%H%M') || coalesce('_' || suffix, '') || '_temp' || case when event_id % 2 = 0 then '_TC' || v else '' end || case when event_id % 5 > 0 then '-ens' || f || '-' || v else '' end as path from s")
+def product_path_full(spark, sf_dir):
+    variant = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("TC"), F.col("v").cast("string")))
+    ensemble = F.when(F.col("event_id") % 5 > 0, F.struct(F.col("f").alias("type"), F.col("v").alias("number")))
+    return _levels(spark, sf_dir).select("event_id", S.path(F.col("suffix"), variant, ensemble).alias("path"))
+
+
+@query("surface_roundtrip", f"with l as ({_LEVELS}) select event_id, {_SUFFIX} as suffix, case code when 1 then 'surface' when 3 then 'cloud-tops' when 100 then 'isobaric' when 101 then 'msl' when 103 then 'altitude' when 160 then 'depth' when 200 then 'tank-total' when 201 then 'tank' end as kind, case when code in (100, 103, 160, 201) then v end as value, case when code = 160 then f end as factor from l")
+def surface_roundtrip(spark, sf_dir):
+    parsed = _levels(spark, sf_dir).withColumn("p", C.surface_parse(F.col("suffix")))
+    return parsed.select("event_id", "suffix", F.col("p.type").alias("kind"), "p.value", "p.factor")
+
+
+@query("process_roundtrip", "select event_id, case user_id % 12 when 0 then 'analysis' when 1 then 'init' when 2 then 'forecast' when 4 then 'ens-forecast' when 8 then 'observation' else 'other-' || (user_id % 12) end as name, cast(user_id % 12 as int) as code from events")
+def process_roundtrip(spark, sf_dir):
+    named = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.process_name((F.col("user_id") % 12).cast("int")).alias("name"))
+    return named.withColumn("code", C.process_code(F.col("name")))
+
+
+@query("selector_lookup", "select event_id, list_element(['gsm/cloud', 'sst/temp', 'thunder-nowc', 'no/such'], event_id % 4 + 1) as selector, list_element(['rough_avg', 'rough_avg', 'max', 'Unknown'], event_id % 4 + 1) as aggregation, case event_id % 4 when 0 then 4 when 3 then null else 1 end as n_bands from events")
+def selector_lookup(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in ("gsm/cloud", "sst/temp", "thunder-nowc", "no/such")])
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get(names, (F.col("event_id") % 4).cast("int")).alias("selector"))
+    return C.known_selectors(rows).select("event_id", "selector", "aggregation", "n_bands")
+
+
 def _selection(where: str, limit: str = "") -> str:
     return f"""with {PRODUCTS}, s as (select *, cast(row_number() over (partition by selector order by valid_time, {PATH}) - 1 as int) as seq from k where {where})
 select selector, reference_time, valid_time, process, seq from s {limit}"""
