@@ -133,12 +133,12 @@ class Encoding:
         return {"type": self.kind, "base": self.first, "interval": self.second, "decode": {"kind": "linear-packed", "weights": [255 * 65536 * self.second, 255 * 256 * self.second, 255 * self.second], "offset": self.first}, "mask": None}
 
 
-def range_report(points: DataFrame, bands: list[Column], encoding: Encoding) -> DataFrame:
-    """One row: least and greatest physical value by band, total and clipped points that have all bands."""
-    shown = points.select(*[b.cast("double").alias(f"v{i}") for i, b in enumerate(bands)])
+def range_report(points: DataFrame, bands: list[Column], encoding: Encoding, group: list[str] = []) -> DataFrame:  # noqa: B006
+    """A row a group: least and greatest physical value by band, total and clipped points that have all bands."""
+    shown = points.select(*group, *[b.cast("double").alias(f"v{i}") for i, b in enumerate(bands)])
     shown = shown.where(F.expr(" and ".join(f"v{i} is not null" for i in range(len(bands)))))
     found = [f(f"v{i}").alias(f"{n}_{i}") for i in range(len(bands)) for n, f in (("min", F.min), ("max", F.max))]
-    return shown.agg(*found, F.count(F.lit(1)).alias("total"), F.count_if(encoding.clips(*[F.col(f"v{i}") for i in range(len(bands))])).alias("clipped"))
+    return shown.groupBy(*group).agg(*found, F.count(F.lit(1)).alias("total"), F.count_if(encoding.clips(*[F.col(f"v{i}") for i in range(len(bands))])).alias("clipped"))
 
 
 def sample_points(at: DataFrame, nodes: DataFrame, key: str, parts: int, nearest: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ import logging
 import os
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -198,18 +199,24 @@ def raster_encoding(p: Prepared, options: ConvertOptions) -> dict:
     return found
 
 
-def source_range(p: Prepared, options: ConvertOptions, seq: int) -> dict:
-    """Extremes and clipped values of one time, over its cells."""
+def source_ranges(p: Prepared, options: ConvertOptions) -> list[dict]:
+    """Extremes and clipped values of each time, over its cells; one job for all."""
     columns, _ = _physical(p, options)
-    points = p.points.where(F.col("seq") == seq)
+    points = p.points
     for b in p.bands:
         if b in p.quantize:
             points = points.withColumn(b, p.quantize[b].classify(F.col(b)))
-    row = R.range_report(points, [columns[b] for b in p.bands], R.Encoding.parse(options.raster)).first()
-    share = 100 * row["clipped"] / row["total"] if row["total"] else 0.0
-    if row["clipped"]:
-        log.warning("%s of %s values (%.3g %%) are beyond what the encoding holds", row["clipped"], row["total"], share)
-    return {"bands": {n: {"min": row[f"min_{i}"], "max": row[f"max_{i}"]} for i, n in enumerate(p.names)}, "values": row["total"], "clipped_count": row["clipped"], "clipped_share_percent": share}
+    rows = {r["seq"]: r for r in R.range_report(points, [columns[b] for b in p.bands], R.Encoding.parse(options.raster), ["seq"]).collect()}
+    found = []
+    for k in p.keys:
+        row = rows.get(k["seq"])
+        total, clipped = (row["total"], row["clipped"]) if row else (0, 0)
+        share = 100 * clipped / total if total else 0.0
+        if clipped:
+            log.warning("%s of %s values (%.3g %%) are beyond what the encoding holds", clipped, total, share)
+        bands = {n: {"min": row[f"min_{i}"] if row else None, "max": row[f"max_{i}"] if row else None} for i, n in enumerate(p.names)}
+        found.append({"bands": bands, "values": total, "clipped_count": clipped, "clipped_share_percent": share})
+    return found
 
 
 def raster_metadata(name: str, p: Prepared, options: ConvertOptions, key: dict, reported: dict) -> dict:
@@ -234,11 +241,16 @@ def convert(spark: SparkSession, points: DataFrame, output: str, options: Conver
     R.Encoding.parse(options.raster).check_bands(p.names)
     paths = S.output_paths(output, [(k["reference_time"], k["valid_time"]) for k in p.keys], options.layer_seq_start)
     S.distinct_files(source or os.devnull, paths, options.manifest)
-    tiles, ranges = raster_tiles(p, options), []
-    for key, path in zip(p.keys, paths):
-        ranges.append(source_range(p, options, key["seq"]))
-        own = tiles.where(F.col("seq") == key["seq"])
-        pmtiles.write(path, _ordered(own), raster_metadata(Path(path).stem, p, options, key, ranges[-1]), pmtiles.PNG, p.bounds, zoom, p.zooms[0], p.zooms[-1])
+    ranges = source_ranges(p, options)
+    # one job for all times: their tiles come one time after another
+    stream = groupby(raster_tiles(p, options).orderBy("seq", "z", "x", "y").toLocalIterator(), key=lambda r: r["seq"])
+    seq, own = next(stream, (None, iter(())))
+    for key, path, reported in zip(p.keys, paths, ranges):
+        mine = own if seq == key["seq"] else iter(())
+        rows = ((r["z"], r["x"], r["y"], r["data"]) for r in mine)
+        pmtiles.write(path, rows, raster_metadata(Path(path).stem, p, options, key, reported), pmtiles.PNG, p.bounds, zoom, p.zooms[0], p.zooms[-1])
+        if seq == key["seq"]:
+            seq, own = next(stream, (None, iter(())))
     if options.manifest:
         write_manifest(p, options, paths, ranges)
     return paths
