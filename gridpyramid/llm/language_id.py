@@ -101,8 +101,8 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model on about sample_rows rows that have a text and a language.
 
-    The rows are those of the smallest hashes of the text, so copies come or go
-    together and the choice does not depend on partitions. The counts are summed by Spark;
+    The rows are those of the smallest hashes of the text, each text and label
+    once, so the choice does not depend on partitions. The counts are summed by Spark;
     only the most frequent words and n-grams of each language, a number that
     does not depend on the input, come to the driver.
     """
@@ -111,6 +111,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     total = rows.count()
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("__t"), F.lit(1 << 20)) < F.lit(max(1, sample_rows * (1 << 20) // total)))
+    rows = rows.distinct()  # copies count once, so that one text with a third of all rows cannot fill the sample
     python_ready(labelled.sparkSession)
 
     def tally(batches):
