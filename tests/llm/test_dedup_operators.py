@@ -91,7 +91,11 @@ def test_near_duplicates_odd_rows(spark):
     assert (alone["component_id"], alone["kept"]) == (9, True)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components(spark, monkeypatch, one_task):
+    from gridpyramid.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", one_task)
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(80)] + [(5, 5), (200, 300), (300, 200)]
     links += [(1000, 1000 + i) for i in range(1, 50)]
