@@ -6,8 +6,6 @@ the same in plain terms.
 
 from __future__ import annotations
 
-from datetime import datetime  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
