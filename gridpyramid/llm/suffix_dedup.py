@@ -76,9 +76,10 @@ def _claims(ids, at, n) -> dict[str, np.ndarray]:
     return {"k1": key, "k2": zero, "l": zero, "r": zero, "id": ids, "pack": _pack(at, n, CLAIM)}
 
 
-def _rows(**columns) -> dict[str, np.ndarray]:
-    size = len(columns["id"])
-    return {c: np.asarray(columns.get(c, np.zeros(size, np.int64))).astype(np.int64, copy=False) if np.asarray(columns.get(c, 0)).dtype != U else columns[c].view(np.int64) for c in ("k1", "k2", "l", "r", "id", "pack")}
+def _rows(**columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows to deal out; columns not given are 0."""
+    zero = np.zeros(len(columns["id"]), np.int64)
+    return {c: columns.get(c, zero).view(np.int64) for c in ("k1", "k2", "l", "r", "id", "pack")}
 
 
 def _batches(parts: list[dict[str, np.ndarray]], columns=("k1", "k2", "l", "r", "id", "pack"), size: int = 50_000):
