@@ -27,13 +27,13 @@ from .common import python_ready, table
 #: The classifier is fitted on about this many labelled rows, chosen by a hash of the text.
 SAMPLE_ROWS = 6000
 #: Most words, and n-grams of each order, that the model keeps for one language.
-TOP_WORDS, TOP_GRAMS = 20_000, 6_000
+TOP_WORDS, TOP_GRAMS = 12_000, 5_000
 #: Orders of the back-off, and the factor that each step down costs.
 ORDERS, BACKOFF = (4, 3, 2, 1), 0.4
 #: Words of which a worker remembers the scores, and the longest such word.
-MEMORY, LONGEST = 60_000, 40
+MEMORY, LONGEST = 40_000, 40
 #: Counts that a training task holds before it passes them on.
-TALLIED = 150_000
+TALLIED = 60_000
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 

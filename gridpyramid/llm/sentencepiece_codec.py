@@ -28,7 +28,7 @@ from .common import python_ready, table
 
 MARK = "▁"
 #: Distinct chunks that a worker remembers before it starts its table anew.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 150_000
 #: Longer chunks are segmented but not remembered.
 LONG_CHUNK = 64
 
@@ -41,6 +41,7 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.table: dict[str, tuple[int, ...]] = {}
+        self.ids = list(range(self.model.get_piece_size()))  # one object for each id, whatever the table's size
         self.by_chunk = self._chunks_are_independent()
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
 
@@ -69,7 +70,8 @@ class Codec:
             known.clear()
         new = [c for c in set(chunks) if c not in known]
         # the model itself puts the first marker in front
-        once = dict(zip(new, map(tuple, self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)))) if new else {}
+        found = self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1) if new else []
+        once = {c: tuple(map(self.ids.__getitem__, ids)) for c, ids in zip(new, found)}
         if MARK in once:
             once[MARK] = self._lone_mark()
         known.update((c, ids) for c, ids in once.items() if len(c) <= LONG_CHUNK)
