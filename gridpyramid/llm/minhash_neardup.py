@@ -6,19 +6,21 @@ the sets that chose the same tokens on the path to it. A pair of similarity J
 stays together through d choices with probability J**d, and TREES repetitions
 bring the chance that it never meets to (1 - J**ROOT)**TREES, about one in a
 million at J = 0.8. First every node's rows are compared with the node's pivot,
-in rounds that prefer central rows as pivots. Then nodes of which few
-rows are outside the pivot's component are small: each such row is compared
-with all others. Nodes with more such rows branch further and draw again. So no node is ever collected and no large group
-is expanded into pairs. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are DEVIATIONS
+in rounds that prefer central rows as pivots. Then each row outside the
+component of a node's pivot is compared with all others of the node, in blocks
+of bounded work. Only nodes with more than SMALL such rows branch first, by
+REPEATS draws of STRIDE further tokens, which are drawn for each node and are no
+root's, so that a pair at J = 0.8 loses a branched node with a chance of 6 to 8 %
+and all trees with one of 3 in a million. What is large after LEVELS is compared
+in blocks as well, so the chance does not depend on how alike the table's rows
+are; the work does. No node is ever collected. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are DEVIATIONS
 standard deviations below the threshold.
 
 Rows: null texts and texts without words have the empty set and link with
 nothing; shorter texts than a shingle are one shingle; rows with a null id take
 no part and are kept with a null component; rows that share an id are one node
 for links and each keep the class of their own text; texts are read whole; an
-empty table gives no rows. Other columns are never read. Nodes that stay large
-after all tokens are used hold sets that agree in each of them, so nearly equal
-ones, which the pivots have joined already.
+empty table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ from .components import leaves
 
 #: Independent trees, and minwise tokens that choose the root nodes of each.
 TREES, ROOT = 20, 3
-#: Nodes with up to so many rows outside the pivot's component are compared exhaustively.
-SMALL = 64
+#: Nodes with up to so many rows outside the pivot's component are compared exhaustively without branching.
+SMALL = 16_384
+#: Pairs of rows that a block of a node compares at most, about.
+BLOCK = 1 << 25
 #: Rounds in which every row meets the pivots of its nodes.
 STAR_ROUNDS = 2
-#: Minwise tokens kept for branching, tokens a level takes, and the most levels below the root.
-TOKENS, STRIDE, LEVELS = 64, 2, 24
+#: Minwise tokens kept for branching, tokens a draw takes, draws a level, and the most levels below the root.
+TOKENS, STRIDE, REPEATS, LEVELS = 192, 6, 9, 2
 SKETCH = 1024
 #: Standard deviations below the threshold at which the sketch drops a pair: of links just at it, one in four thousand.
 DEVIATIONS = 3.5
@@ -95,7 +99,7 @@ def path_keys(signature: np.ndarray) -> np.ndarray:
     tree = np.arange(TREES, dtype=np.uint64) * Mix(0x9E3779B97F4A7C15)
     keys = np.tile(tree, (len(signature), 1))
     for level in range(ROOT):
-        keys ^= signature[:, [(t * ROOT + level) % TOKENS for t in range(TREES)]].astype(np.uint64)
+        keys ^= signature[:, [t * ROOT + level for t in range(TREES)]].astype(np.uint64)
         keys *= Mix(0xBF58476D1CE4E5B9)
         keys ^= keys >> Mix(31)
     return keys
@@ -125,7 +129,7 @@ def _sketches(k: int):
                     for w, value in zip(BITS, bits[row]):
                         out[w][i] = value
                     out["keys"][i] = keys[row]
-                    out["tokens"][i] = sig[row, :TOKENS].astype("<u4").tobytes()
+                    out["tokens"][i] = sig[row, TREES * ROOT : TREES * ROOT + TOKENS].astype("<u2").tobytes()
             yield pd.DataFrame(out)
 
     return run
@@ -168,7 +172,7 @@ def _sets(k: int):
 
 
 def _pivots(rows: DataFrame, draw: int) -> DataFrame:
-    """Nodes of more than one component: key, a pivot (p_) and out, the number of rows outside the pivot's component.
+    """Nodes of more than one component: key, a pivot (p_), total rows and out, the number of rows outside the pivot's component.
 
     The pivot is of the node's largest component and the most central of it so far; ties are drawn anew.
     """
@@ -177,7 +181,7 @@ def _pivots(rows: DataFrame, draw: int) -> DataFrame:
     top = F.max(F.struct("size", "p.central", "p.drawn", "c", "p"))
     nodes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), top.alias("top")).where("parts > 1")
     columns = [F.col(f"top.p.{x}").alias(f"p_{x}") for x in ("id", "n", *BITS)]
-    return written(nodes.select("key", *columns, F.col("top.c").alias("p_c"), (F.col("total") - F.col("top.size")).alias("out")), "nodes")
+    return written(nodes.select("key", *columns, F.col("top.c").alias("p_c"), "total", (F.col("total") - F.col("top.size")).alias("out")), "nodes")
 
 
 def _stars(live: DataFrame, percent: int) -> DataFrame:
@@ -188,16 +192,30 @@ def _stars(live: DataFrame, percent: int) -> DataFrame:
 def _exhaustive(live: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components, one row of which is outside the pivot's.
 
-    Where there are few such rows, each is compared with all rows of the node,
-    so a row has at most SMALL partners in a node.
+    Each such row is compared with all rows of its node. A node is a square of
+    blocks, as many as keep a block's pairs near BLOCK, so that no task has a large node alone.
     """
-    few = live.where(F.col("out") <= SMALL)
-    left = few.where("c <> p_c").select("key", *[F.col(x).alias(f"x_{x}") for x in ("id", "n", *BITS, "c")])
-    right = few.select(F.col("key").alias("y_key"), *[F.col(x).alias(f"y_{x}") for x in ("id", "n", *BITS, "c")])
-    found = left.join(right, (F.col("key") == F.col("y_key")) & (F.col("x_c") != F.col("y_c")) & _candidate("x_", "y_", percent))
+    side = F.ceil(F.sqrt(F.col("out").cast("double") * F.col("total") / BLOCK)).cast("int")
+    dealt = live.withColumns({"side": side, "own": F.pmod(F.xxhash64("id"), side).cast("int")})
+    others = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    left = dealt.where("c <> p_c").select("key", F.col("own").alias("u"), others.alias("v"), *[F.col(x).alias(f"x_{x}") for x in ("id", "n", *BITS, "c")])
+    right = dealt.select(F.col("key").alias("y_key"), others.alias("y_u"), F.col("own").alias("y_v"), *[F.col(x).alias(f"y_{x}") for x in ("id", "n", *BITS, "c")])
+    same = (F.col("key") == F.col("y_key")) & (F.col("u") == F.col("y_u")) & (F.col("v") == F.col("y_v"))
+    found = left.join(right, same & (F.col("x_c") != F.col("y_c")) & _candidate("x_", "y_", percent))
     return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
+def _token(at: Column) -> Column:
+    return F.substring("tokens", F.pmod(at, F.lit(TOKENS)).cast("int") * 2 + 1, F.lit(2))
+
+
+def _branched(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows, each in REPEATS nodes below its node by tokens that are drawn for each node and repetition."""
+    drawn = rows.join(tokens, "id").withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    chosen = [_token(F.xxhash64("key", "again", F.lit(i))) for i in range(STRIDE)]
+    return drawn.withColumn("key", F.xxhash64("key", "again", *chosen)).drop("tokens", "again")
+
+
 def _marked(rows: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with c, the component of id so far, and central, how near it is to others on average in the pairs met so far."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("met"))
@@ -261,17 +279,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = leaves(links)
         rows = written(_marked(rows.join(nodes.select("key"), "key", "left_semi"), open_, labels), "rows")
 
-    # nodes that still hold several components are compared, or branch further if too many rows are outside the pivot's
+    # nodes that still hold several components are compared; they branch first if too many rows are outside the pivot's
     tokens = reps.select("id", "tokens")
     for level in range(LEVELS + 1):
         nodes = _pivots(rows, STAR_ROUNDS + level)
-        found += [_exhaustive(rows.join(nodes.select("key", "p_c", "out"), "key"), percent), _stars(rows.join(nodes, "key"), percent)]
         large = nodes.where(F.col("out") > SMALL).select("key")
+        few = nodes if level == LEVELS else nodes.where(F.col("out") <= SMALL)
+        found += [_exhaustive(rows.join(few.select("key", "p_c", "out", "total"), "key"), percent), _stars(rows.join(nodes, "key"), percent)]
         if level == LEVELS or empty(large):
             break
-        next_tokens = F.array(*[F.substring("tokens", F.pmod(F.col("tree") * ROOT + ROOT + level * STRIDE + i, F.lit(TOKENS)) * 4 + 1, F.lit(4)) for i in range(STRIDE)])
-        branched = rows.join(large, "key", "left_semi").join(tokens, "id").withColumn("key", F.xxhash64("key", next_tokens)).drop("tokens")
-        rows = written(branched.select("key", "tree", "id", "n", *BITS, "c", "central"), "branched")
+        rows = written(_branched(rows.join(large, "key", "left_semi"), tokens).select("key", "tree", "id", "n", *BITS, "c", "central"), "branched")
     rest = written(_apart(reduce(DataFrame.unionByName, found).select("a", "b").distinct(), labels, tested), "rest")
     if not empty(rest):
         labels = leaves(links.unionByName(_confirmed(rest, sets, percent)))

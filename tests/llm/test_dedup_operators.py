@@ -91,6 +91,22 @@ def test_near_duplicates_odd_rows(spark):
     assert (alone["component_id"], alone["kept"]) == (9, True)
 
 
+@pytest.mark.parametrize("small", [16, None])
+def test_near_duplicates_in_a_templated_table(spark, monkeypatch, small):
+    """Pairs just over the threshold among rows that are all nearly as alike: every link is found."""
+    if small:
+        monkeypatch.setattr(M, "SMALL", small)
+    monkeypatch.setattr(M, "BLOCK", 5000, raising=False)
+    template = [f"t{i}" for i in range(82)]
+    texts = []
+    for pair in range(200):
+        for end in range(2):
+            texts.append(" ".join(template + [f"p{pair}x{i}" for i in range(7)] + [f"u{pair}y{end}z{i}" for i in range(11)]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in M.near_duplicates(docs, k=1).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("one_task", [0, 100_000])
 def test_components(spark, monkeypatch, one_task):
     from gridpyramid.llm import components as module
