@@ -14,7 +14,8 @@ root's, so that a pair at J = 0.8 loses a branched node with a chance of 6 to 8
 and all trees with one of 3 in a million. What is large after LEVELS is compared
 in blocks as well, so the chance does not depend on how alike the table's rows
 are; the work does. No node is ever collected. Every link is confirmed on the full sets; a 1-bit minwise sketch of SKETCH bits only drops pairs that are DEVIATIONS
-standard deviations below the threshold.
+standard deviations below the threshold, and none with a set of fewer than SHORT
+shingles, whose bits depend on each other.
 
 Rows: null texts and texts without words have the empty set and link with
 nothing; shorter texts than a shingle are one shingle; rows with a null id take
@@ -46,8 +47,10 @@ STAR_ROUNDS = 2
 #: Minwise tokens kept for branching, tokens a draw takes, draws a level, and the most levels below the root.
 TOKENS, STRIDE, REPEATS, LEVELS = 192, 6, 9, 2
 SKETCH = 1024
-#: Standard deviations below the threshold at which the sketch drops a pair: of links just at it, one in four thousand.
-DEVIATIONS = 3.5
+#: Standard deviations below the threshold at which the sketch drops a pair: of links just at it, three in ten million.
+DEVIATIONS = 5.0
+#: Pairs with a smaller set than this are not tested by sketches.
+SHORT = 32
 #: The sketch as columns of 64 bits.
 BITS = [f"w{i}" for i in range(SKETCH // 64)]
 SEED = 20240229
@@ -145,7 +148,7 @@ def _candidate(x: str, y: str, percent: int) -> Column:
     half = (1 - percent / 100) / 2
     most = SKETCH * half + DEVIATIONS * (SKETCH * half * (1 - half)) ** 0.5
     sizes = 100 * F.least(x + "n", y + "n") >= percent * F.greatest(x + "n", y + "n")
-    return sizes & (_differ(x, y) <= int(most) + 1)
+    return sizes & ((F.least(x + "n", y + "n") < SHORT) | (_differ(x, y) <= int(most) + 1))
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:

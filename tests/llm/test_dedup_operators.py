@@ -91,6 +91,15 @@ def test_near_duplicates_odd_rows(spark):
     assert (alone["component_id"], alone["kept"]) == (9, True)
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    """Five against four shingles, exactly 0.8: the sketch drops none of the pairs."""
+    words = [[f"w{pair}x{i}" for i in range(8)] for pair in range(3000)]
+    texts = [" ".join(w[:n]) for w in words for n in (8, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in M.near_duplicates(docs, k=4).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("small", [16, None])
 def test_near_duplicates_in_a_templated_table(spark, monkeypatch, small):
     """Pairs just over the threshold among rows that are all nearly as alike: every link is found."""
