@@ -425,6 +425,13 @@ def mvt_antimeridian(spark, sf_dir):
     return V.pixel_rects(cells, _EAST).select("gx", "gy", "tx", "x1", "y1", "x2", "y2")
 
 
+@query("mvt_antimeridian_whole", ORACLES["mvt_antimeridian"].replace(" where y < 64", ""))
+def mvt_antimeridian_whole(spark, sf_dir):
+    """mvt_antimeridian over the whole lattice: the tile decides which rows give rectangles."""
+    cells = D.dense(spark, sf_dir).select(F.lit(5).alias("z"), F.explode(F.array(F.lit(0), F.lit(31))).alias("tx"), F.lit(13).alias("ty"), F.col("x").alias("gx"), F.col("y").alias("gy"), "power")
+    return V.pixel_rects(cells, _EAST).select("gx", "gy", "tx", "x1", "y1", "x2", "y2")
+
+
 @query("mvt_tiles")
 def mvt_tiles(spark, sf_dir):
     cells = P.aggregate_by_tile(D.dense(spark, sf_dir), [], [2, 3, 4, 5], D.DENSE_GRID, {"b0": "rough_avg"})

@@ -43,3 +43,11 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_antimeridian_takes_the_whole_lattice(spark, duck):
+    whole, part = (registry.QUERIES[n](spark, DATA) for n in ("mvt_antimeridian_whole", "mvt_antimeridian"))
+    rows = {r.gy for r in whole.select("gy").distinct().collect()}
+    assert max(rows) >= 64
+    assert rows == {r[0] for r in duck.sql(f"select distinct gy from ({registry.ORACLES['mvt_antimeridian_whole']})").fetchall()}
+    assert part.exceptAll(whole.where("gy < 64")).count() == 0 == whole.where("gy < 64").exceptAll(part).count()
