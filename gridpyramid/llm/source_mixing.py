@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). Raking scales the cells'
-token weights to the marginals of each dimension in turn until all three hold.
+token weights to the marginals of each dimension in turn until all three hold:
+ROUNDS rounds, then more until no marginal is off by more than TOLERANCE of its
+target. A warning tells if MOST_ROUNDS do not reach that.
 A document's probability is its cell's calibrated weight over its tokens,
 times one factor chosen so that the expected tokens meet the budget although
 no probability exceeds 1. A uniform number drawn from a hash of the id decides,
@@ -20,6 +22,8 @@ carried, never read.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ DIMENSIONS = ("source", "lang", "topic")
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 RATE, ROUNDS, FACTOR_ROUNDS, SEED = 0.5, 12, 8, "mix"
 MAX_CELLS = 50_000
+#: The largest error of a marginal as a share of its target, the most rounds for it, and rounds between two tests of it and two writes of the cells.
+TOLERANCE, MOST_ROUNDS, WRITE_ROUNDS = 1e-6, 400, 4
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +57,11 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(shown.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def _report(error: float) -> None:
+    if error > TOLERANCE:
+        warnings.warn(f"raking stopped after {MOST_ROUNDS} rounds with a marginal off by {error:.2g} of its target", stacklevel=3)
+
+
 def _rake_local(cells: DataFrame, targets: dict[str, dict], rounds: int) -> DataFrame:
     """Rakes at most MAX_CELLS cells on the driver."""
     rows = cells.collect()
@@ -61,14 +72,27 @@ def _rake_local(cells: DataFrame, targets: dict[str, dict], rounds: int) -> Data
         place = {n: i for i, n in enumerate(names)}
         codes.append(np.array([place[r[d]] for r in rows], np.int64))
         wanted.append(np.array([targets[d][n] for n in names]))
-    for _ in range(rounds):
+    error = 0.0
+    for n in range(max(rounds, MOST_ROUNDS)):
+        if n >= rounds and (n - rounds) % WRITE_ROUNDS == 0:
+            off = [np.abs(np.bincount(code, weight, len(want)) - want)[want > 0] / want[want > 0] for code, want in zip(codes, wanted)]
+            error = max((float(x.max()) for x in off if len(x)), default=0.0)
+            if error <= TOLERANCE:
+                break
         for code, want in zip(codes, wanted):
             have = np.bincount(code, weight, len(want))
             weight = weight * np.divide(want, have, out=np.zeros_like(want), where=have > 0)[code]
+    _report(error)
     schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", t long, w double"
     return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), r["t"], float(w)) for r, w in zip(rows, weight)], schema)
 
 
+def _error(cells: DataFrame, d: str) -> float:
+    """The largest error of the dimension's marginals as a share of the target."""
+    sums = cells.groupBy(d).agg(F.sum("w").alias("have"), F.first(f"__to_{d}").alias("want")).where("want > 0")
+    return sums.agg(F.max(F.abs(F.col("have") - F.col("want")) / F.col("want"))).first()[0] or 0.0
+
+
 def _rake_windows(cells: DataFrame, exponents: dict[str, float], rounds: int) -> DataFrame:
     """The same for any number of cells, by a window over the cells for each step."""
     now = cells.withColumn("w", F.col("t").cast("double"))
@@ -77,12 +101,19 @@ def _rake_windows(cells: DataFrame, exponents: dict[str, float], rounds: int) ->
         scale = total.agg(F.sum("__m"), F.sum("__g")).first()
         now = now.join(total.select(d, (F.col("__g") * F.lit((scale[0] or 0.0) / (scale[1] or 1.0))).alias(f"__to_{d}")), d)
     now = written(now, "cells")
-    for n in range(rounds):
+    error = 0.0
+    for n in range(max(rounds, MOST_ROUNDS)):
+        if n >= rounds and (n - rounds) % WRITE_ROUNDS == 0:
+            now = written(now, "raked")
+            error = max(_error(now, d) for d in DIMENSIONS)
+            if error <= TOLERANCE:
+                break
         for d in DIMENSIONS:
             have = F.sum("w").over(Window.partitionBy(d))
             now = now.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"__to_{d}") / have).otherwise(0.0))
-        if n % 4 == 3:
+        if n < rounds and n % WRITE_ROUNDS == WRITE_ROUNDS - 1:
             now = written(now, "raked")
+    _report(error)
     return now.select(*DIMENSIONS, "t", "w")
 
 

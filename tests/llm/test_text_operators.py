@@ -273,6 +273,20 @@ def test_mixing(spark, odd, none):
     assert sorted(map(str, M.mix(odd, max_cells=0).select("doc_id", "weight", "prob", "kept").collect())) == local
 
 
+@pytest.mark.parametrize("max_cells", [M.MAX_CELLS, 0])
+def test_mixing_where_the_source_nearly_fixes_the_language(spark, max_cells):
+    """All marginals hold, although twelve rounds do not reach them."""
+    size = lambda i, j: (i + 1) * (400 if i == j else 4)
+    rows = [(4 * i + j, "w " * size(i, j), f"l{j}", f"s{i}") for i in range(4) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = M.mix(docs, topic=F.lit("one"), exponents={"source": 0.5, "lang": 0.0, "topic": 0.7}, max_cells=max_cells).toPandas()
+    found["w"] = found["weight"] * found["n_tokens"]
+    for d, power in (("source", 0.5), ("lang", 0.0)):
+        tokens = found.groupby(d)["n_tokens"].sum() ** power
+        want = tokens / tokens.sum() * found["n_tokens"].sum()
+        assert (abs(found.groupby(d)["w"].sum() - want) / want).max() < 1e-4
+
+
 def test_mixing_meets_the_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = M.mix(docs, rate=0.3).toPandas()
