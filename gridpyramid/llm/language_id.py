@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("__t"), F.col(lang_col).alias("__l"))
-    total = rows.count()
+    total = rows.select(F.xxhash64("__t"), "__l").distinct().count()  # as copies count once below
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("__t"), F.lit(1 << 20)) < F.lit(max(1, sample_rows * (1 << 20) // total)))
     rows = rows.distinct()  # copies count once, so that one text with a third of all rows cannot fill the sample

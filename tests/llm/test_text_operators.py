@@ -273,6 +273,13 @@ def test_mixing(spark, odd, none):
     assert sorted(map(str, M.mix(odd, max_cells=0).select("doc_id", "weight", "prob", "kept").collect())) == local
 
 
+def test_language_model_is_fitted_on_distinct_texts(spark):
+    """Copies do not narrow the sample: languages with few texts stay in the model."""
+    rows = [("the same text", "en")] * 5000 + [(f"word{i} of {lang}", lang) for lang in ("de", "fr", "it") for i in range(30)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"), sample_rows=80)
+    assert {"de", "fr", "it"} <= set(model.langs)
+
+
 @pytest.mark.parametrize("max_cells", [M.MAX_CELLS, 0])
 def test_mixing_where_the_source_nearly_fixes_the_language(spark, max_cells):
     """All marginals hold, although twelve rounds do not reach them."""
