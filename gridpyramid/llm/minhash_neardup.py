@@ -7,8 +7,10 @@ stays together through d choices with probability J**d, and TREES repetitions
 bring the chance that it never meets to (1 - J**ROOT)**TREES, about one in a
 million at J = 0.8. First every node's rows are compared with the node's pivot,
 in rounds that prefer central rows as pivots. Then each row outside the
-component of a node's pivot is compared with all others of the node, in blocks
-of bounded work. Only nodes with more than SMALL such rows branch first, by
+component of a node's pivot is compared with all others of the node: the pairs
+of small nodes by a join, those of large nodes in blocks of bounded rows and
+bytes, where the full sets meet and only links that join two components come
+out, so that the pairs of a large group are never rows. Only nodes with more than SMALL such rows branch first, by
 REPEATS draws of STRIDE further tokens, which are drawn for each node and are no
 root's, so that a pair at J = 0.8 loses a branched node with a chance of 6 to 8 %
 and all trees with one of 3 in a million. What is large after LEVELS is compared
@@ -40,8 +42,10 @@ from .components import leaves
 TREES, ROOT = 20, 3
 #: Nodes with up to so many rows outside the pivot's component are compared exhaustively without branching.
 SMALL = 16_384
-#: Pairs of rows that a block of a node compares at most, about.
-BLOCK = 1 << 25
+#: Nodes with more pairs to compare are compared in blocks, in which the full sets meet.
+PAIRS = 512
+#: Rows, and bytes of their sets, of a side of a block, about.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 24
 #: Rounds in which every row meets the pivots of its nodes.
 STAR_ROUNDS = 2
 #: Minwise tokens kept for branching, tokens a draw takes, draws a level, and the most levels below the root.
@@ -143,12 +147,21 @@ def _differ(x: str, y: str) -> Column:
     return reduce(Column.__add__, [F.bit_count(F.col(x + w).bitwiseXOR(F.col(y + w))) for w in BITS]).cast("int")
 
 
+def _most(percent: int) -> int:
+    """Differing bits at which a sketch still lets a pair pass."""
+    half = (1 - percent / 100) / 2
+    return int(SKETCH * half + DEVIATIONS * (SKETCH * half * (1 - half)) ** 0.5) + 1
+
+
 def _candidate(x: str, y: str, percent: int) -> Column:
     """Whether two sets may be similar enough, by their sizes and sketches."""
-    half = (1 - percent / 100) / 2
-    most = SKETCH * half + DEVIATIONS * (SKETCH * half * (1 - half)) ** 0.5
     sizes = 100 * F.least(x + "n", y + "n") >= percent * F.greatest(x + "n", y + "n")
-    return sizes & ((F.least(x + "n", y + "n") < SHORT) | (_differ(x, y) <= int(most) + 1))
+    return sizes & ((F.least(x + "n", y + "n") < SHORT) | (_differ(x, y) <= _most(percent)))
+
+
+def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both)
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -156,12 +169,7 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
     @F.pandas_udf("boolean")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)], dtype=bool)
 
     return run(a, b)
 
@@ -180,11 +188,12 @@ def _pivots(rows: DataFrame, draw: int) -> DataFrame:
     The pivot is of the node's largest component and the most central of it so far; ties are drawn anew.
     """
     own = F.struct("central", F.xxhash64(F.lit(draw), "key", "id").alias("drawn"), "id", "n", *BITS)
-    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"), F.max(own).alias("p"))
-    top = F.max(F.struct("size", "p.central", "p.drawn", "c", "p"))
-    nodes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), top.alias("top")).where("parts > 1")
+    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("size_n"), F.max(own).alias("p"))
+    top = F.max(F.struct("size", "p.central", "p.drawn", "c", "p", "size_n"))
+    nodes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"), F.sum("size_n").alias("total_n"), top.alias("top")).where("parts > 1")
     columns = [F.col(f"top.p.{x}").alias(f"p_{x}") for x in ("id", "n", *BITS)]
-    return written(nodes.select("key", *columns, F.col("top.c").alias("p_c"), "total", (F.col("total") - F.col("top.size")).alias("out")), "nodes")
+    out = [(F.col("total") - F.col("top.size")).alias("out"), (F.col("total_n") - F.col("top.size_n")).alias("out_n")]
+    return written(nodes.select("key", *columns, F.col("top.c").alias("p_c"), "total", "total_n", *out), "nodes")
 
 
 def _stars(live: DataFrame, percent: int) -> DataFrame:
@@ -193,19 +202,65 @@ def _stars(live: DataFrame, percent: int) -> DataFrame:
 
 
 def _exhaustive(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, one row of which is outside the pivot's.
+    """Candidate pairs of different components, one row of which is outside the pivot's; for nodes of at most PAIRS such pairs."""
+    columns = ("id", "n", *BITS, "c")
+    left = live.where("c <> p_c").select("key", *[F.col(x).alias(f"x_{x}") for x in columns])
+    right = live.select(F.col("key").alias("y_key"), *[F.col(x).alias(f"y_{x}") for x in columns])
+    found = left.join(right, (F.col("key") == F.col("y_key")) & (F.col("x_c") != F.col("y_c")) & _candidate("x_", "y_", percent))
+    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+
 
-    Each such row is compared with all rows of its node. A node is a square of
-    blocks, as many as keep a block's pairs near BLOCK, so that no task has a large node alone.
+def _parts(rows: str, shingles: str) -> Column:
+    """Parts of a side of a node, each of about BLOCK_ROWS rows and BLOCK_BYTES of sets at most."""
+    return F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(shingles) * 8 / BLOCK_BYTES, F.lit(1.0))).cast("int")
+
+
+def block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between components among the pairs of a block, confirmed on the full sets.
+
+    Pairs of rows that links of the block join already are not tested, so there
+    are fewer links than rows, however alike the rows are.
     """
-    side = F.ceil(F.sqrt(F.col("out").cast("double") * F.col("total") / BLOCK)).cast("int")
-    dealt = live.withColumns({"side": side, "own": F.pmod(F.xxhash64("id"), side).cast("int")})
-    others = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
-    left = dealt.where("c <> p_c").select("key", F.col("own").alias("u"), others.alias("v"), *[F.col(x).alias(f"x_{x}") for x in ("id", "n", *BITS, "c")])
-    right = dealt.select(F.col("key").alias("y_key"), others.alias("y_u"), F.col("own").alias("y_v"), *[F.col(x).alias(f"y_{x}") for x in ("id", "n", *BITS, "c")])
-    same = (F.col("key") == F.col("y_key")) & (F.col("u") == F.col("y_u")) & (F.col("v") == F.col("y_v"))
-    found = left.join(right, same & (F.col("x_c") != F.col("y_c")) & _candidate("x_", "y_", percent))
-    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), _differ("x_", "y_").alias("d")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    names, code = np.unique(np.concatenate((left["c"].to_numpy(np.int64), right["c"].to_numpy(np.int64))), return_inverse=True)
+    label = np.arange(len(names))
+    mine, theirs = code[: len(left)], code[len(left) :]
+    x, y = (np.stack([side[w].to_numpy(np.int64) for w in BITS], 1).view(np.uint64) for side in (left, right))
+    n_x, n_y = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
+    sets_x, sets_y = ([np.frombuffer(t, np.uint64) for t in side["t"]] for side in (left, right))
+    most, links = _most(percent), []
+    for i in range(len(left)):
+        differ = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64)
+        low, high = np.minimum(n_y, n_x[i]), np.maximum(n_y, n_x[i])
+        near = (100 * low >= percent * high) & ((low < SHORT) | (differ <= most)) & (theirs != mine[i])
+        for j in np.flatnonzero(near)[np.argsort(differ[near], kind="stable")]:
+            a, b = label[mine[i]], label[theirs[j]]
+            if a != b and _alike(sets_x[i], sets_y[j], percent):
+                links.append((int(left["id"].iloc[i]), int(right["id"].iloc[j])))
+                label[label == b] = a
+    return links
+
+
+def _compared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of large nodes, confirmed where the full sets meet: their pairs are never rows.
+
+    Each row outside the pivot's component is compared with all rows of its
+    node. Both sides are dealt into parts, and a task holds a part of each, so that no task has a large node alone.
+    """
+    need = live.select("id").distinct()
+    own = sets.join(need, "id", "left_semi")
+    dealt = live.join(own, "id").withColumns({"n_left": _parts("out", "out_n"), "n_right": _parts("total", "total_n")})
+    hashed = F.xxhash64("id")
+    columns = ("id", "n", *BITS, "c", "t")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = dealt.where("c <> p_c").select("key", F.pmod(hashed, F.col("n_left")).cast("int").alias("u"), each("n_right").alias("v"), *columns)
+    right = dealt.select("key", each("n_left").alias("u"), F.pmod(hashed, F.col("n_right")).cast("int").alias("v"), *columns)
+    right = right.select(*[F.col(x).alias(f"y_{x}") for x in right.columns])
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y.columns = [c.removeprefix("y_") for c in y.columns]
+        return pd.DataFrame(block_links(x, y, percent) if len(x) and len(y) else [], columns=["u", "v"], dtype="int64")
+
+    return left.groupBy("key", "u", "v").cogroup(right.groupBy("y_key", "y_u", "y_v")).applyInPandas(run, "u long, v long")
 
 
 def _token(at: Column) -> Column:
@@ -288,10 +343,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = _pivots(rows, STAR_ROUNDS + level)
         large = nodes.where(F.col("out") > SMALL).select("key")
         few = nodes if level == LEVELS else nodes.where(F.col("out") <= SMALL)
-        found += [_exhaustive(rows.join(few.select("key", "p_c", "out", "total"), "key"), percent), _stars(rows.join(nodes, "key"), percent)]
+        few = few.select("key", "p_c", "out", "out_n", "total", "total_n")
+        found += [_exhaustive(rows.join(few.where(F.col("out") * F.col("total") <= PAIRS), "key"), percent), _stars(rows.join(nodes, "key"), percent)]
+        blocks = rows.join(few.where(F.col("out") * F.col("total") > PAIRS), "key")
+        links = links.unionByName(written(_compared(blocks, sets, percent).distinct(), "block-links"))
         if level == LEVELS or empty(large):
             break
         rows = written(_branched(rows.join(large, "key", "left_semi"), tokens).select("key", "tree", "id", "n", *BITS, "c", "central"), "branched")
+    labels = leaves(links)
     rest = written(_apart(reduce(DataFrame.unionByName, found).select("a", "b").distinct(), labels, tested), "rest")
     if not empty(rest):
         labels = leaves(links.unionByName(_confirmed(rest, sets, percent)))

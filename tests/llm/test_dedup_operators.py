@@ -105,7 +105,7 @@ def test_near_duplicates_in_a_templated_table(spark, monkeypatch, small):
     """Pairs just over the threshold among rows that are all nearly as alike: every link is found."""
     if small:
         monkeypatch.setattr(M, "SMALL", small)
-    monkeypatch.setattr(M, "BLOCK", 5000, raising=False)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 70)
     template = [f"t{i}" for i in range(82)]
     texts = []
     for pair in range(200):
@@ -116,6 +116,34 @@ def test_near_duplicates_in_a_templated_table(spark, monkeypatch, small):
     assert found == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_links_of_a_block():
+    """Fewer links than rows, and components as from all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[: 60 - i % 9], rng.integers(1, 2**63, i % 13).astype(np.uint64)))) for i in range(80)]
+    bits = np.packbits((M.signatures(sets) >> 8 & 1).astype(np.uint8), axis=1).view(np.int64)
+    import pandas as pd
+
+    rows = pd.DataFrame({"id": range(80), "n": [len(s) for s in sets], "c": range(80), "t": [s.tobytes() for s in sets]} | {w: bits[:, i] for i, w in enumerate(M.BITS)})
+    links = M.block_links(rows, rows, 80)
+    parent = list(range(80))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in links:
+        parent[max(find(u), find(v))] = min(find(u), find(v))
+    got, parent = [find(i) for i in range(80)], list(range(80))
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == [find(i) for i in range(80)] and len(links) == 80 - len(set(got)) and len(set(got)) < 80
+
+
 @pytest.mark.parametrize("one_task", [0, 100_000])
 def test_components(spark, monkeypatch, one_task):
     from gridpyramid.llm import components as module
