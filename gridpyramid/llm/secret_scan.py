@@ -2,13 +2,17 @@
 
 Base spans are the matches of three patterns, leftmost and non-overlapping for
 each kind. Candidates are longer runs of a character class; over each a window
-slides whose Shannon entropy is kept by incremental counts: one character
-leaves, one enters, and only their two terms of sum(c * log2(c)) change. The
-windows at or over the class's threshold make one span. Candidates that the
+slides whose Shannon entropy is kept by incremental counts: the state holds the
+number of each character in the window, a few bits each in an array of longs;
+one character leaves, one enters, and only their two counts and their two terms
+of sum(c * log2(c)) change. The terms are whole numbers, so nothing drifts on a
+long run. The windows at or over the class's threshold make one span. Candidates that the
 allow list matches, and those that touch a base span, add nothing.
 
 Positions are code points, ends are exclusive. A match's place follows from the
 lengths of the pieces that a split by the same pattern leaves between matches.
+The work is linear in the length of a run, and nearly so in the number of
+matches: arrays grow in blocks, and what is used twice is bound once.
 
 Rows: null text counts as empty and has no spans; texts are scanned whole;
 repeated rows give repeated results; an empty table gives no rows. Other
@@ -17,6 +21,8 @@ columns are carried or ignored, never read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,66 +47,128 @@ ALLOW = (
 )
 
 
+#: Items of an array that a scan gathers at a time.
+SCANNED = 64
+#: The first character of the classes, and counts and their bits in a long of the window's state.
+FIRST, SLOTS, COUNT_BITS = ord("+"), 12, 5
+LONGS = (ord("z") - FIRST) // SLOTS + 1
+#: Terms c * log2(c) are whole numbers of this unit.
+UNIT = 1 << 40
+
+SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(items: Column, zero: Column, step) -> Column:
+    """The state before each item, where step(state, item) is the next state.
+
+    The states are gathered in blocks, so that an array is not copied as a whole for each item.
+    """
+
+    def of_block(state, block):
+        begin = F.struct(state.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+        return F.aggregate(block, begin, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def add(a, block):
+        return _bound(of_block(a["at"], block), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    def whole(bound):
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), F.lit(SCANNED)), lambda i: F.slice(bound, i, F.lit(SCANNED)))
+        begin = F.struct(zero.alias("at"), F.slice(F.array(F.slice(F.array(zero), 1, 0)), 1, 0).alias("out"))
+        return F.flatten(F.aggregate(blocks, begin, add)["out"])
+
+    return _bound(items, whole)
+
+
 def _spans(text: Column, pattern: str, kind: int, least: int = 0, group: int | None = None) -> Column:
     """Spans (s, k, e, m) of the pattern's matches, of which group has least characters or more."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     tested = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(found.alias("m"), gaps.alias("g"), tested.alias("t"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<s:int,k:int,e:int,m:string>>").alias("out"))
 
-    def step(acc, x):
-        s = acc["at"] + F.char_length(F.coalesce(x["g"], F.lit("")))
-        e = s + F.char_length(F.coalesce(x["m"], F.lit("")))
-        span = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["m"].alias("m")))
-        keep = x["m"].isNotNull() & (F.char_length(x["t"]) >= least)
-        return F.struct(e.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def sized(x):
+        return F.struct(F.char_length(F.coalesce(x["g"], F.lit(""))).alias("g"), F.char_length(F.coalesce(x["m"], F.lit(""))).alias("n"), x["m"].alias("m"), F.char_length(x["t"]).alias("t"))
+
+    def placed(pieces):
+        before = scan(pieces, F.lit(0), lambda at, x: at + x["g"] + x["n"])
+        kept = F.filter(F.arrays_zip(pieces.alias("p"), before.alias("at")), lambda x: x["p"]["m"].isNotNull() & (x["p"]["t"] >= least))
+        start = lambda x: x["at"] + x["p"]["g"]
+        return F.transform(kept, lambda x: F.struct(start(x).alias("s"), F.lit(kind).alias("k"), (start(x) + x["p"]["n"]).alias("e"), x["p"]["m"].alias("m")))
 
-    none = F.expr("array()").cast("array<struct<s:int,k:int,e:int,m:string>>")
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(zipped, start, step, lambda acc: acc["out"]))
+    pieces = F.transform(F.arrays_zip(found.alias("m"), gaps.alias("g"), tested.alias("t")), sized)
+    return F.when(F.size(found) == 0, F.expr("array()").cast(SPANS)).otherwise(_bound(pieces, placed).cast(SPANS))
 
 
-def _term(count: Column) -> Column:
-    return F.when(count <= 1, F.lit(0.0)).otherwise(count * F.log2(count.cast("double")))
+def _terms(window: int) -> list[int]:
+    return [round(c * math.log2(c) * UNIT) if c else 0 for c in range(window + 2)]
 
 
 def entropy_span(candidate: Column, window: int, least: float) -> Column:
     """struct(lo, hi): the windows at or over the entropy, from the first's start to the last's end; lo is -1 if there is none.
 
-    The candidate has at least window characters.
+    The candidate has at least window characters, all from the classes.
     """
-    chars = F.split(candidate, "")
+    if not 0 < window < 1 << COUNT_BITS:
+        raise ValueError(f"a window has 1 to {(1 << COUNT_BITS) - 1} characters")
     # entropy = log2(window) - sum(c * log2(c)) / window
-    most = F.lit(float(window)) * (F.log2(F.lit(float(window))) - F.lit(least)) + 1e-9
-    first = F.slice(chars, 1, window)
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda acc, c: acc + _term(F.size(F.filter(first, lambda x: x == c))))
+    most = F.lit(round((window * (math.log2(window) - least) + 1e-9) * UNIT))
+    terms = _terms(window)
+    gain = F.array(*[F.lit(b - a).cast("long") for a, b in zip(terms, terms[1:])])  # from a count to the next
+    zero, none = F.lit(0).cast("long"), F.lit(-1)
+
+    def place(code):
+        return F.floor(code / SLOTS).cast("int"), code % SLOTS * COUNT_BITS
+
+    def count(counts, code):
+        which, bits = place(code)
+        return F.call_function("shiftright", F.get(counts, which), bits).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def one(code, i):
+        which, bits = place(code)
+        return F.when(which == i, F.call_function("shiftleft", F.lit(1).cast("long"), bits)).otherwise(zero)
+
+    def hit(a):
+        """lo and hi with the window that ends before the state's place."""
+        ok = (a["at"] >= window) & (a["t"] <= most)
+        return F.when(ok & (a["lo"] < 0), a["at"] - window).otherwise(a["lo"]).alias("lo"), F.when(ok, a["at"]).otherwise(a["hi"]).alias("hi")
+
+    def step(a, x):
+        new, gone = x["new"], x["gone"]
+        lost = F.when(gone >= 0, F.get(gain, count(a["n"], gone) - 1)).otherwise(zero)
+        t = F.when(new == gone, a["t"]).otherwise(a["t"] + F.get(gain, count(a["n"], new)) - lost)
+        n = F.transform(a["n"], lambda v, i: v + one(new, i) - F.when(gone >= 0, one(gone, i)).otherwise(zero))
+        return F.struct((a["at"] + 1).alias("at"), t.alias("t"), n.alias("n"), *hit(a))
 
-    def hit(total, lo, hi, at):
-        ok = total <= most
-        return F.struct(total.alias("t"), F.when(ok & (lo < 0), at).otherwise(lo).alias("lo"), F.when(ok, at + window).otherwise(hi).alias("hi"))
+    def slide(codes):
+        gone = F.slice(F.concat(F.array_repeat(none, window), codes), F.lit(1), F.size(codes))
+        begin = F.struct(F.lit(0).alias("at"), zero.alias("t"), F.array_repeat(zero, LONGS).alias("n"), none.alias("lo"), none.alias("hi"))
+        return F.aggregate(F.arrays_zip(codes.alias("new"), gone.alias("gone")), begin, step, lambda a: F.struct(*hit(a)))
 
-    def step(acc, i):
-        rest = F.slice(chars, i + 1, window - 1)
-        gone, new = F.get(chars, i - 1), F.get(chars, i + window - 1)
-        n_gone, n_new = F.size(F.filter(rest, lambda x: x == gone)), F.size(F.filter(rest, lambda x: x == new))
-        return hit(acc["t"] + _term(n_gone) - _term(n_gone + 1) + _term(n_new + 1) - _term(n_new), acc["lo"], acc["hi"], i)
+    return _bound(F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - FIRST), slide)
 
-    begin = hit(total, F.lit(-1), F.lit(-1), F.lit(0))
-    moves = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.expr("array()").cast("array<int>"))
-    return F.aggregate(moves, begin, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
+def _untouched(runs: Column, base: Column) -> Column:
+    """The runs that no base span touches: none that starts before ends beyond the run's start, the next starts at its end or later."""
+    item = lambda x, own: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(own).alias("own"), x["m"].alias("m"))
 
-def _dense(runs: Column, base: Column, allowed: str, window: int, least: float) -> Column:
-    """The spans (s, k, e, ok) of the runs that count."""
+    def swept(both):
+        reach = scan(both, F.lit(-1), lambda at, x: F.when(x["own"], at).otherwise(F.greatest(at, x["e"])))
+        follows = F.reverse(scan(F.reverse(both), F.lit(2**31 - 1), lambda at, x: F.when(x["own"], at).otherwise(x["s"])))
+        free = F.filter(F.arrays_zip(both.alias("x"), reach.alias("reach"), follows.alias("next")), lambda z: z["x"]["own"] & (z["reach"] <= z["x"]["s"]) & (z["next"] >= z["x"]["e"]))
+        return F.transform(free, lambda z: F.struct(z["x"]["s"].alias("s"), F.lit(3).alias("k"), z["x"]["e"].alias("e"), z["x"]["m"].alias("m")))
 
-    def fresh(r):
-        return ~r["m"].rlike(allowed) & ~F.exists(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))
+    both = F.array_sort(F.concat(F.transform(base, lambda x: item(x, False)), F.transform(runs, lambda x: item(x, True))))
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(_bound(both, swept).cast(SPANS))
 
-    def scored(r):
-        w = entropy_span(r["m"], window, least)
-        return F.struct((r["s"] + w["lo"]).alias("s"), F.lit(3).alias("k"), (r["s"] + w["hi"]).alias("e"), (w["lo"] >= 0).alias("ok"))
 
-    return F.filter(F.transform(F.filter(runs, fresh), scored), lambda x: x["ok"])
+def _dense(runs: Column, window: int, least: float) -> Column:
+    """Spans of the runs that have windows at or over the entropy."""
+    scored = F.transform(runs, lambda r: F.struct(r["s"].alias("s"), entropy_span(r["m"], window, least).alias("w")))
+    return F.transform(F.filter(scored, lambda x: x["w"]["lo"] >= 0), lambda x: F.struct((x["s"] + x["w"]["lo"]).alias("s"), F.lit(3).alias("k"), (x["s"] + x["w"]["hi"]).alias("e"), F.lit("").alias("m")))
 
 
 def _entropy(text: Column, base: Column) -> Column:
@@ -108,10 +176,9 @@ def _entropy(text: Column, base: Column) -> Column:
     allowed = "|".join(f"(?:{p})" for p in ALLOW)
     parts = []
     for chars, window, least in CLASSES:
-        runs = _spans(text, f"{chars}{{{window},}}", 3)
-        parts.append(_dense(runs, base, allowed, window, least))
-    both = F.concat(*[F.transform(p, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit("").alias("m"))) for p in parts])
-    return F.array_distinct(both)
+        runs = F.filter(_spans(text, f"{chars}{{{window},}}", 3), lambda r: ~r["m"].rlike(allowed))
+        parts.append(_bound(runs, lambda r: _bound(_untouched(r, base), lambda free: _dense(free, window, least))))
+    return F.array_distinct(F.concat(*[p.cast(SPANS) for p in parts]))
 
 
 def _joined(spans: Column) -> Column:

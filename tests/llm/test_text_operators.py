@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -155,6 +156,24 @@ def test_secret_scan(spark, odd, none):
     assert X.secret_scan(none).count() == 0
 
 
+def test_secret_scan_of_long_runs_and_many_matches(spark):
+    """A run of 100,000 characters and 50,000 matches, in seconds."""
+    rng = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    texts = ["".join(rng.choice(letters, 100_000)), "-a-b" * 500 + "1" + "".join(rng.choice(letters, 300)) + "7x" * 4000]
+    texts += [" ".join(f"{n:032x}" for n in rng.integers(2**62, 2**63, 50_000)), "token=abcdef1;" * 50_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = time.time()
+    found = X.secret_scan(rows).select("doc_id", "base_spans", "spans").collect()
+    assert time.time() - before < 60
+    for r in found:
+        text = texts[r["doc_id"]]
+        if r["doc_id"] < 2:
+            assert (r["base_spans"], r["spans"]) == spans(text)
+        else:
+            assert r["spans"] == r["base_spans"] == spans(text[: len(text) // 50])[0] + r["base_spans"][len(spans(text[: len(text) // 50])[0]) :] and r["spans"].count(",") == 49_999
+
+
 def test_secret_scan_is_native(spark, odd):
     plan = X.secret_scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
