@@ -93,6 +93,30 @@ def test_small_buckets_give_the_same(spark, odd):
     assert same(1) == same(10_000)
 
 
+def test_the_directory_decides(spark, odd, monkeypatch):
+    """Rows of a slot that points to a wrong bucket are not found; large chains are salted without a change."""
+    want = sorted(map(str, E.exact_dedup(odd, capacity=2).collect()))
+    monkeypatch.setattr(E, "MANY", 1)
+    assert sorted(map(str, E.exact_dedup(odd, capacity=2).collect())) == want
+    right, slots, calls = E._dealt, E.split_directory, []
+
+    def wrong(rows, directory, depth):
+        calls.append(depth)
+        return right(rows, directory if len(calls) == 1 else directory.withColumn("__bucket", F.col("__bucket") + 1), depth)
+
+    monkeypatch.setattr(E, "_dealt", wrong)
+    assert E.exact_dedup(odd, capacity=2).count() == 0
+    monkeypatch.setattr(E, "_dealt", right)
+    monkeypatch.setattr(E, "split_directory", lambda *a: slots(*a)[::2])
+    assert 0 < E.exact_dedup(odd, capacity=2).count() < odd.count()
+
+
+def test_texts_that_collide_on_the_hash(spark, odd, monkeypatch):
+    want = sorted(map(str, E.exact_dedup(odd).collect()))
+    monkeypatch.setattr(E.F, "xxhash64", lambda *a: F.lit(7).cast("long"))
+    assert sorted(map(str, E.exact_dedup(odd).collect())) == want
+
+
 def test_line_dedup(spark, odd, none):
     found = N.line_dedup(odd, min_sites=3)
     sites = {}
