@@ -370,6 +370,8 @@ def test_top_k(spark, monkeypatch):
         monkeypatch.setattr(K, "SHARD_ROWS", shard)
         monkeypatch.setattr(K, "BLOCK_ROWS", block)
         assert sorted(tuple(r) for r in K.top_k(df, F.col("vec_id") % 50 == 0).collect()) == brute_top(rows, 5)
+    counted = K.top_k(df, F.col("vec_id") % 50 == 0, with_blocks=True)
+    assert sorted(tuple(r)[:4] for r in counted.collect()) == brute_top(rows, 5) and counted.where("blocks_scored > blocks").count() == 0
     few = df.where("vec_id in (0, 1, 2)")
     assert K.top_k(few, F.col("vec_id") % 50 == 0).count() == 2
     assert K.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
@@ -380,8 +382,8 @@ def test_blocks_are_pruned():
     centres = rng.normal(size=(20, 8)) * 50
     rows = np.floor(np.repeat(centres, 50, 0) + rng.normal(size=(1000, 8))).astype(np.int64)
     queries = rows[[0, 500, 999]]
-    best, ids, scored = K.search_shard(np.array([0, 500, 999]), queries, np.arange(1000), rows, 5, 50)
-    assert scored < 3 * 20 / 2
+    best, ids, scored = K.search_shard(np.array([0, 500, 999]), queries, np.arange(1000), rows, 5, None, 50)
+    assert scored[0] < scored[1] / 2 and scored[1] == 3 * 20
     for n, q in enumerate((0, 500, 999)):
         expect = sorted((-int(s), i) for i, s in enumerate(rows @ rows[q]) if i != q)[:5]
         assert [(-int(s), int(i)) for s, i in zip(best[n], ids[n])] == expect
@@ -389,5 +391,37 @@ def test_blocks_are_pruned():
 
 def test_ties_go_to_the_smaller_id():
     rows = np.ones((40, 2), np.int64)
-    best, ids, _ = K.search_shard(np.array([3]), rows[:1], np.arange(40), rows, 5, 8)
+    best, ids, _ = K.search_shard(np.array([3]), rows[:1], np.arange(40), rows, 5, None, 8)
     assert ids.tolist() == [[0, 1, 2, 4, 5]]
+
+
+@pytest.mark.parametrize("shard", [4096, 6])
+def test_top_k_of_odd_vectors(spark, monkeypatch, shard):
+    """Repeated ids, unequal lengths, empty vectors, and components far beyond 2**28."""
+    monkeypatch.setattr(K, "SHARD_ROWS", shard)
+    rows = [(0, [1.0, 2.0]), (0, [3.0]), (50, []), (1, [5e6, -5e6]), (2, [1.0]), (2, [1.0]), (3, []), (4, [0.5, 0.25, 9.0]), (7, [2.0**21, 1.0, 1.0])]
+    rows += [(100, [2.0**24, 0.0, 2.0**22]), (8, [-(2.0**20)])]
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    expect = []
+    for q in (0, 50, 100):
+        scores = [(-sum(a * b for a, b in zip(whole(v), whole(w))), i) for j, v in rows if j == q for i, w in rows if i != q]
+        expect += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:4])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in K.top_k(df, F.col("vec_id") % 50 == 0, 4).collect()) == sorted(expect)
+    assert any(abs(s) > 2**60 for *_, s in expect)
+    beyond = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        K.top_k(beyond, F.col("vec_id") == 0).collect()
+
+
+def test_thresholds_are_shared(spark, monkeypatch):
+    """Near copies in other shards: with the score of its own shard a query passes over most blocks."""
+    monkeypatch.setattr(K, "SHARD_ROWS", 500)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 32))
+    rows = np.repeat(centres, 100, 0) + rng.normal(size=(2000, 32)) * 0.02
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = K.top_k(df, F.col("vec_id") % 50 == 0, with_blocks=True).collect()
+    assert sorted(tuple(r)[:4] for r in found) == brute_top([(i, v.tolist()) for i, v in enumerate(rows)], 5)
+    assert found[0]["blocks_scored"] < found[0]["blocks"] / 2
