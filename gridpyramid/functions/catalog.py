@@ -165,7 +165,7 @@ globe any 0. -90. 2 2
 # Conditions beyond the codes, tried in this order.
 CONDITIONS = """
 tenkibunpu/temp cutoff_hours = 3
-msm/temp cutoff_hours is null or cutoff_hours <> 3
+msm/temp statistic is not null or coalesce(cutoff_hours, 0) = 0
 precipitation forecast_time < 360
 precipitation-15h forecast_time >= 360
 sst-daily/temp process_type = 0
@@ -261,6 +261,18 @@ def grid_of(selector: str, isobaric: float | None = None) -> Grid:
     return Grid(_number(row[2]), _number(row[3]), float(row[4]), float(row[5]))
 
 
+def grid_columns(selector: str, surface: Column, value: Column) -> Column:
+    """struct(lng_0, lat_0, lng_denom, lat_denom) of the configured grid of a product, by surface type code and value."""
+    shown = lambda g: F.struct(*[F.lit(float(x)).alias(n) for n, x in (("lng_0", g.lng_0), ("lat_0", g.lat_0), ("lng_denom", g.lng_denom), ("lat_denom", g.lat_denom))])
+    plain, level = grid_of(selector), grid_of(selector, 0)
+    if plain == level:
+        return shown(plain)
+    fits = surface == 100
+    if products()[selector].grid == "gsm":
+        fits &= value <= COARSE_ISOBARIC
+    return F.when(F.coalesce(fits, F.lit(False)), shown(level)).otherwise(shown(plain))
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """One row for each code: selector, band, band_name, aggregation, background, category, number, statistic, priority.
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +22,27 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(path))
     context._gridpyramid_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir.
+
+    Where the session has no such setting, a local master takes a folder of this
+    machine; a cluster, whose executors have disks of their own, raises an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = getattr(context, "_gridpyramid_folder", None)
+        if root is None:
+            root = context._gridpyramid_folder = "file://" + tempfile.mkdtemp(prefix="gridpyramid-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """df, written once to a shared folder and read back, so that later uses do not run it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,11 +37,38 @@ class Scale:
         return (F.lit(self.reference) + raw.cast("double") * F.lit(2.0**self.binary)) * F.lit(10.0**-self.decimal)
 
 
+def by_seq(values: list) -> Column:
+    """The value of a row's product, by its seq; a literal where all are the same."""
+    if len(set(values)) == 1:
+        return F.lit(values[0])
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("seq"))
+
+
+@dataclass(frozen=True)
+class Scales:
+    """A scale for each product, by seq."""
+
+    each: tuple[Scale, ...]
+
+    @property
+    def plain(self) -> bool:
+        return all(s.plain for s in self.each)
+
+    def physical(self, raw: Column) -> Column:
+        if len(set(self.each)) == 1:
+            return self.each[0].physical(raw)
+        reference, binary, decimal = (by_seq([float(f(s)) for s in self.each]) for f in (lambda s: s.reference, lambda s: 2.0**s.binary, lambda s: 10.0**-s.decimal))
+        return (reference + raw.cast("double") * binary) * decimal
+
+
 @dataclass(frozen=True)
 class Quantize:
-    """Classes of a band: lower bounds in raw and physical values, and the value that stands for each class."""
+    """Classes of a band: lower bounds in raw and physical values, and the value that stands for each class.
+
+    A raw bound is a number, or a tuple of one for each product by seq.
+    """
 
-    raw_bounds: tuple[int, ...]
+    raw_bounds: tuple[int | tuple[int, ...], ...]
     bounds: tuple[float, ...]
     outputs: tuple[float, ...]
 
@@ -51,7 +78,7 @@ class Quantize:
 
     def classify(self, raw: Column) -> Column:
         """Index of the last class whose bound is not above the value, the first class below all bounds."""
-        met = sum((F.when(raw >= F.lit(b), 1).otherwise(0) for b in self.raw_bounds[1:]), F.lit(0))
+        met = sum((F.when(raw >= (by_seq(list(b)) if isinstance(b, tuple) else F.lit(b)), 1).otherwise(0) for b in self.raw_bounds[1:]), F.lit(0))
         return F.when(raw.isNotNull(), met).cast("int")
 
     def output(self, index: Column) -> Column:
@@ -103,7 +130,12 @@ def raw_bound(physical: float, scale: Scale) -> int:
     return max(LEAST, min(MOST, value))
 
 
-def quantizer(text: str, scale: Scale = Scale()) -> Quantize:
+def quantizer(text: str, scale: Scale | Scales = Scale()) -> Quantize:
+    if isinstance(scale, Scales):
+        if len(set(scale.each)) == 1:
+            return quantizer(text, scale.each[0])
+        found = [quantizer(text, s) for s in scale.each]
+        return Quantize(tuple(zip(*[q.raw_bounds for q in found])), found[0].bounds, found[0].outputs)
     bounds, outputs = parse_bounds(text)
     raw = tuple(raw_bound(b, scale) for b in bounds)
     if any(a >= b for a, b in zip(raw, raw[1:])):
@@ -111,8 +143,11 @@ def quantizer(text: str, scale: Scale = Scale()) -> Quantize:
     return Quantize(raw, bounds, outputs)
 
 
-def zero_raw(scale: Scale) -> int | None:
-    """The raw value of a physical zero, if there is one."""
+def zero_raw(scale: Scale | Scales) -> int | tuple[int | None, ...] | None:
+    """The raw value of a physical zero, if there is one; of each product where they differ."""
+    if isinstance(scale, Scales):
+        found = tuple(zero_raw(s) for s in scale.each)
+        return found[0] if len(set(found)) == 1 else found
     value = scale.raw(0.0)
     nearest = math.floor(value + 0.5)
     return int(nearest) if abs(value - nearest) <= TOLERANCE else None
@@ -140,7 +175,7 @@ def drop_empty(rows: DataFrame, bands: list[str]) -> DataFrame:
 def omit_and_quantize(
     rows: DataFrame,
     bands: list[str],
-    scales: dict[str, Scale] | None = None,
+    scales: dict[str, Scale | Scales] | None = None,
     quantize: dict[str, Quantize] | None = None,
     omit_zero: bool = False,
     omit_class: dict[str, tuple[int, ...]] | None = None,
@@ -151,7 +186,8 @@ def omit_and_quantize(
         value = F.col(b)
         zero = zero_raw(scales.get(b, Scale())) if omit_zero else None
         if zero is not None:
-            value = F.when(value != zero, value)
+            none = by_seq(list(zero)) if isinstance(zero, tuple) else F.lit(zero)
+            value = F.when(F.coalesce(value != none, value.isNotNull()), value)
         if b in quantize:
             value = quantize[b].classify(value)
         if omit_class.get(b):

@@ -8,7 +8,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.catalog import surface_suffix
+
 KEYS = ["selector", "reference_time", "valid_time", "process"]
+#: What else tells products apart where the points have it: surface struct(type, value, factor), variant, ensemble struct(type, number).
+MORE = ["surface", "variant", "ensemble"]
+#: What a product has besides: grid struct(lng_0, lat_0, lng_denom, lat_denom) and scales, an array by band of struct(reference, binary, decimal).
+CARRIED = ["grid", "scales"]
 STAMP = "yyyyMMddHHmm"
 
 
@@ -39,18 +45,43 @@ def path(surface: Column | None = None, variant: Column | None = None, ensemble:
     return F.concat(*parts)
 
 
+def keys_of(points: DataFrame, carried: bool = False) -> list[str]:
+    """The columns that tell products apart, and those that go with a product."""
+    return KEYS + [c for c in MORE + (CARRIED if carried else []) if c in points.columns]
+
+
+def path_of(keys: DataFrame) -> Column:
+    """The path of a product with the parts that keys has."""
+    has = lambda c: F.col(c) if c in keys.columns else None
+    surface = has("surface")
+    if surface is not None:
+        surface = surface_suffix(surface["type"], surface["value"], surface["factor"])
+    return path(surface, has("variant"), has("ensemble"))
+
+
+def joined(points: DataFrame, keys: DataFrame, *more: str) -> DataFrame:
+    """points of the products in keys, with more of their columns; keys has one row a product and is broadcast."""
+    same = keys_of(points)
+    named = keys.select(*[F.col(c).alias(f"__{c}") for c in same], *more)
+    on = [F.col(c) == F.col(f"__{c}") if c in KEYS else F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
+    return points.join(F.broadcast(named), on).drop(*[f"__{c}" for c in same])
+
+
 def list_products(points: DataFrame) -> DataFrame:
     return points.select("selector").distinct()
 
 
 def product_keys(points: DataFrame) -> DataFrame:
     """One row for each product instance; a few thousand at most, whatever the points' number."""
-    return points.select(*KEYS).distinct()
+    return points.select(*keys_of(points)).distinct()
 
 
 def resolve_selector(points: DataFrame, wanted: str | None = None) -> str:
     """The wanted selector if it occurs, else the only one."""
-    known = sorted(r[0] for r in list_products(points).limit(1000).collect())
+    return resolved(sorted(r[0] for r in list_products(points).collect()), wanted)  # selectors of the catalog
+
+
+def resolved(known: list[str], wanted: str | None = None) -> str:
     if wanted is None:
         if len(known) != 1:
             raise ValueError(f"choose one of the products {known}")
@@ -69,7 +100,7 @@ def selected(keys: DataFrame, min_lead_minutes: int | None = None, skip_analysis
         keys = keys.where(lead_minutes() >= min_lead_minutes)
     if skip_analysis:
         keys = keys.where(F.col("process") != "analysis")
-    order = Window.partitionBy("selector").orderBy("valid_time", path())
+    order = Window.partitionBy("selector").orderBy("valid_time", path_of(keys))
     keys = keys.withColumn("seq", F.row_number().over(order) - 1)
     return keys.where(F.col("seq") < layer_count) if layer_count is not None else keys
 
@@ -121,6 +152,7 @@ def band_statistics(points: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def compatible(products: list[dict]) -> None:
+    """An error if products have different grids (base_z and grid)."""
     if len({(p["base_z"], p["grid"]) for p in products}) > 1:
         raise ValueError("the selected products have different grids")
 

@@ -2,9 +2,11 @@
 
     convert(spark, points, output, ConvertOptions(...), grid, bands)
 
-points is a relation of the canonical columns (see sources/grids.py). All
-relational steps are one lazy plan; tiles stream to the driver in order and
-are written as they come.
+points is a relation of the canonical columns (see sources/grids.py), and may
+have surface, variant and ensemble, which tell products apart, and grid and
+scales, which a product has. One pass over the points finds the products and
+their bounds, and one more makes the tiles (with rasters, a third the ranges).
+Tiles stream to the driver in order and are written as they come.
 """
 
 from __future__ import annotations
@@ -86,6 +88,7 @@ class Prepared:
     names: list[str]
     bands: list[str]
     aggregations: dict[str, str]
+    scales: dict[str, Q.Scale | Q.Scales]
     quantize: dict[str, Q.Quantize]
     omit_class: dict[str, tuple[int, ...]]
     grid: Grid
@@ -94,33 +97,63 @@ class Prepared:
     selector: str
 
 
+def _summary(points: DataFrame) -> DataFrame:
+    """A row for each product, with the extent of its cells: the one job that looks for products."""
+    end = lambda c: F.max(F.col(c) + F.pow(F.lit(2), F.col("power")).cast("int"))
+    extent = [F.min("x").alias("x_min"), F.min("y").alias("y_min"), end("x").alias("x_end"), end("y").alias("y_end")]
+    return points.groupBy(*S.keys_of(points, carried=True)).agg(*extent)
+
+
+def _scales(rows: list[dict], options: ConvertOptions, bands: list[str]) -> dict[str, Q.Scale | Q.Scales]:
+    """The scale of each band: of the options, else of the products."""
+    found: dict[str, Q.Scale | Q.Scales] = {}
+    for i, b in enumerate(bands):
+        each = []
+        for r in rows:
+            own = r["scales"][i] if r.get("scales") and i < len(r["scales"]) else None
+            each.append(Q.Scale(own["reference"], own["binary"], own["decimal"]) if own else Q.Scale())
+        found[b] = options.scales.get(b) or Q.Scales(tuple(each))
+    return found
+
+
 def prepare(points: DataFrame, options: ConvertOptions, grid: Grid | None = None, names: list[str] | None = None, aggregation: str | None = None) -> Prepared:
     """Selects the products and resolves the options against them."""
-    selector = S.resolve_selector(points, options.product)
-    known = products().get(selector)
+    spark = points.sparkSession
     bands = [c for c in points.columns if c in ("b0", "b1", "b2", "b3")]
+    asked = points if options.product is None else points.where(F.col("selector") == options.product)
+    summary = _summary(asked)
+    found = summary.collect()  # a row a product, whatever the number of points
+    selector = S.resolved(sorted({r["selector"] for r in found}), options.product)
+    known = products().get(selector)
     names = list(names or (known.bands if known else (["value"] if len(bands) == 1 else bands)))
-    grid = grid or grid_of(selector)
     how = aggregation or (known.aggregation if known else "rough_avg")
-    keys = S.selected(S.product_keys(points.where(F.col("selector") == selector)), options.min_lead_time, options.skip_analysis, options.layer_count)
+    keys = S.selected(spark.createDataFrame(found, summary.schema), options.min_lead_time, options.skip_analysis, options.layer_count)
+    keys = keys.orderBy("seq")
     n = S.require(keys, options.layer_count)
     S.check_pattern(options.layer_name_pattern, n)
-    rows = [r.asDict() for r in keys.orderBy("seq").collect()]  # one row a product
+    rows = [r.asDict() for r in keys.collect()]
+    if len({tuple(map(str, (r[k] for k in S.keys_of(points)))) for r in rows}) < n:
+        raise ValueError("a product has several grids or scales")
+    own = [Grid(**r["grid"].asDict()) if r.get("grid") else grid_of(selector) for r in rows] if grid is None else [grid] * n
+    S.compatible([{"base_z": g.base_z, "grid": g} for g in own])
+    grid = own[0]
     names = S.renamed(names, list(options.rename))
     place = dict(zip(names, bands))
-    specs = {place[k]: Q.quantizer(v, options.scales.get(place[k], Q.Scale())) for k, v in Q.by_band(list(options.quantize), names).items()}
+    scales = _scales(rows, options, bands)
+    specs = {place[k]: Q.quantizer(v, scales[place[k]]) for k, v in Q.by_band(list(options.quantize), names).items()}
     omitted = {place[k]: Q.omitted_classes(v, specs.get(place[k])) for k, v in Q.by_band(list(options.omit_class), names).items()}
-    chosen = points.join(F.broadcast(keys.select(*S.KEYS, "seq")), S.KEYS)  # one row a product
+    chosen = S.joined(asked, spark.createDataFrame([tuple(r[k] for k in [*S.keys_of(points), "seq"]) for r in rows], keys.select(*S.keys_of(points), "seq").schema), "seq")
     top = options.max_zoom if options.max_zoom is not None else max(grid.detail_z, options.min_zoom)
-    west, south, east, north = P.grid_bounds(chosen, grid).first()
-    return Prepared(chosen, rows, names, bands, dict.fromkeys(bands, how), specs, omitted, grid, list(range(options.min_zoom, top + 1)), normalised_bounds(west, south, east, north), selector)
+    corners = [(r[f"x_{side}"] - less, r[f"y_{side}"] - less, 0) for r in rows for side, less in (("min", 0), ("end", 1))]
+    west, south, east, north = P.grid_bounds(spark.createDataFrame(corners, "x int, y int, power int"), grid).first()
+    return Prepared(chosen, rows, names, bands, dict.fromkeys(bands, how), scales, specs, omitted, grid, list(range(options.min_zoom, top + 1)), normalised_bounds(west, south, east, north), selector)
 
 
 def _physical(p: Prepared, options: ConvertOptions):
     """(columns, integral) of the published values by band."""
     columns, integral = {}, {}
     for b in p.bands:
-        scale = options.scales.get(b, Q.Scale())
+        scale = p.scales[b]
         if b in p.quantize:
             columns[b], integral[b] = p.quantize[b].output(F.col(b)), p.quantize[b].integral
         else:
@@ -129,7 +162,7 @@ def _physical(p: Prepared, options: ConvertOptions):
 
 
 def _omitted(cells: DataFrame, p: Prepared, options: ConvertOptions) -> DataFrame:
-    return Q.omit_and_quantize(cells, p.bands, options.scales, p.quantize, options.omit_zero, p.omit_class)
+    return Q.omit_and_quantize(cells, p.bands, p.scales, p.quantize, options.omit_zero, p.omit_class)
 
 
 def vector_tiles(p: Prepared, options: ConvertOptions) -> DataFrame:
@@ -164,7 +197,7 @@ def _sections(p: Prepared, options: ConvertOptions) -> dict:
             if b in p.quantize
         }
     if options.omit_zero:
-        zero = {name: [0.0] for name, b in zip(p.names, p.bands) if Q.zero_raw(options.scales.get(b, Q.Scale())) is not None}
+        zero = {name: [0.0] for name, b in zip(p.names, p.bands) if Q.zero_raw(p.scales[b]) is not None}
         if zero:
             found["omitted_input_values"] = zero
     return found
@@ -181,7 +214,15 @@ def vector_metadata(name: str, p: Prepared, options: ConvertOptions) -> dict:
     return _base(name, p, "pbf") | {"vector_layers": layers} | _sections(p, options)
 
 
-def raster_encoding(p: Prepared, options: ConvertOptions) -> dict:
+def level_of(options: ConvertOptions, key: dict) -> dict | None:
+    """The level of a product: of the options, else its surface."""
+    if options.level:
+        return level_descriptor(*options.level)
+    surface = key.get("surface")
+    return level_descriptor(surface["type"], surface["value"], surface["factor"]) if surface else None
+
+
+def raster_encoding(p: Prepared, options: ConvertOptions, key: dict | None = None) -> dict:
     """Everything that a client needs to decode a tile, but what differs from time to time."""
     encoding = R.Encoding.parse(options.raster)
     found = encoding.descriptor() | {
@@ -192,7 +233,7 @@ def raster_encoding(p: Prepared, options: ConvertOptions) -> dict:
         "image_size": R.IMAGE,
         "bands": p.names[: encoding.bands],
         "sampling": {"filter": "nearest" if p.quantize else "bilinear"},
-        "level": level_descriptor(*options.level) if options.level else None,
+        "level": level_of(options, key or p.keys[0]),
     }
     if encoding.kind == "vector-field":
         found |= {"components": ["eastward", "northward"], "units": "m/s"}
@@ -221,7 +262,7 @@ def source_ranges(p: Prepared, options: ConvertOptions) -> list[dict]:
 
 def raster_metadata(name: str, p: Prepared, options: ConvertOptions, key: dict, reported: dict) -> dict:
     times = {"product": p.selector, "reference_time": key["reference_time"].isoformat(), "valid_time": key["valid_time"].isoformat(), "sequence": options.layer_seq_start + key["seq"]}
-    return _base(name, p, "png") | {"raster_encoding": raster_encoding(p, options) | {"source_range": reported}} | times | _sections(p, options)
+    return _base(name, p, "png") | {"raster_encoding": raster_encoding(p, options, key) | {"source_range": reported}} | times | _sections(p, options)
 
 
 def _ordered(tiles: DataFrame):

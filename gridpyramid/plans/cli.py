@@ -4,27 +4,12 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from ..functions.catalog import Grid, grid_of, lookup, null_sentinels, process_name, products
-from ..operators.pyramid import pivot_bands
-from ..operators.select import KEYS
-from ..sources import grib2
+from ..functions.catalog import Grid
+from ..functions.session import stored
 from .api import ConvertOptions, convert
-
-
-def grib_points(spark: SparkSession, path: str, selector: str, missing_band: str = "zero", isobaric: int | None = None) -> DataFrame:
-    """The canonical relation of one product of GRIB2 files, on its configured grid (for a pressure level, if isobaric is one)."""
-    g = grid_of(selector, isobaric)
-    raw = grib2.read(spark, path, g.lng_0, g.lat_0, g.lng_denom, g.lat_denom)
-    heads = raw.select("path", "header_id", "background", "category", "number", "statistic", "cutoff_hours", "forecast_time", "process_type", "lo2").distinct()
-    heads = heads.withColumn("__key", F.struct("path", "header_id"))
-    known = lookup(heads.withColumn("header_id", F.xxhash64("path", "header_id"))).where(F.col("selector") == selector)
-    wanted = known.select("__key.path", F.col("__key.header_id").alias("header_id"), "selector", "band")
-    rows = raw.join(F.broadcast(wanted), ["path", "header_id"])  # one row a message
-    rows = rows.withColumn("value", null_sentinels(F.col("value"), selector)).where("value is not null").withColumn("process", process_name(F.col("process_type")))
-    return pivot_bands(rows, [*KEYS, "x", "y", "power"], len(products()[selector].bands), missing_band)
+from .products import grib_points
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,21 +31,30 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--omit-zero", action="store_true")
     p.add_argument("--raster", help="vector-field:limit, scalar16:min,max or scalar24:base,interval")
     p.add_argument("--manifest")
+    p.add_argument("--missing-band", choices=("zero", "null"), default="zero", help="for GRIB2 files: what a band that a cell lacks is")
+    p.add_argument("--level", help="for tables: type of the surface, and its value and factor, with commas")
     p.add_argument("--grid", help="for tables: longitude, latitude of cell (0, 0) and cells a degree, as four numbers with commas")
     return p
 
 
+def level_of(text: str | None) -> tuple[str, int | None, int | None] | None:
+    if text is None:
+        return None
+    kind, *numbers = text.split(",")
+    value, factor = [*map(int, numbers), None, None][:2]
+    return kind, value, factor
+
+
 def main(arguments: list[str] | None = None) -> list[str]:
     given = vars(parser().parse_args(arguments))
-    source, output, grid = given.pop("input"), given.pop("output"), given.pop("grid")
+    source, output, grid, missing = given.pop("input"), given.pop("output"), given.pop("grid"), given.pop("missing_band")
+    given["level"] = level_of(given["level"])
     options = ConvertOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if source.rstrip("/").endswith(".parquet"):
         points = spark.read.parquet(source)
-    elif options.product:
-        points = grib_points(spark, source, options.product)
     else:
-        raise SystemExit("name the --product to take from GRIB2 files; known are: " + ", ".join(sorted(products())))
+        points = stored(grib_points(spark, source, options.product, missing), "points")  # decoded once
     return convert(spark, points, output, options, Grid(*map(float, grid.split(","))) if grid else None, source=source)
 
 

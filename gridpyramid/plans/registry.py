@@ -289,10 +289,24 @@ def grid_bounds(spark, sf_dir):
     return P.grid_bounds(D.mixed(spark, sf_dir), D.MIXED_GRID)
 
 
-@query("zoom_levels", "select * from (values " + ", ".join(f"('{s}', {b}, {d})" for s, b, d in (("atm30min/temp", 7, 6), ("dojoshisu", 8, 7), ("hrnowc/intensity", 10, 9), ("sst/temp", 3, 2), ("kousa/low", 2, 1), ("cwm/wave", 5, 5), ("ocean-np/temp", 4, 4))) + ") t(selector, base_z, detail_z)")
+_DENOMS = ", ".join(f"('{p}', {C.grid_of(p).lat_denom!r}e0)" for p in sorted(C.products()))
+
+
+@query(
+    "zoom_levels",
+    f"with g(selector, d) as (values {_DENOMS}), l as (select selector, log2(cast(cast(cast(cast(d as float) as double) * 360 * 2 / 512 as float) as double)) as z from g)"
+    " select selector, cast(greatest(0, ceil(z)) as int) as base_z, cast(greatest(0, sign(z) * floor(abs(z) + 0.5e0)) as int) as detail_z from l",
+)
 def zoom_levels(spark, sf_dir):
-    names = ["atm30min/temp", "dojoshisu", "hrnowc/intensity", "sst/temp", "kousa/low", "cwm/wave", "ocean-np/temp"]
-    return spark.createDataFrame([(n, C.grid_of(n).base_z, C.grid_of(n).detail_z) for n in names], "selector string, base_z int, detail_z int")
+    grids = [(n, C.grid_of(n)) for n in C.products()]
+    return spark.createDataFrame([(n, g.base_z, g.detail_z) for n, g in grids], "selector string, base_z int, detail_z int")
+
+
+@query("mercator_round_trip", "with {0}, e as (select x, y, power, {lng1} as lng, {lat1} as lat from mixed) select x, y, power, cast(round(lng * 1e7) as bigint) as lng, cast(round(lat * 1e7) as bigint) as lat from e".format(MIXED, **_grid(D.MIXED_GRID)))
+def mercator_round_trip(spark, sf_dir):
+    e = G.cell_edges(F.col("x"), F.col("y"), F.col("power"), D.MIXED_GRID)
+    back = {"lng": G.mercator_to_lng(e["mx1"]), "lat": G.mercator_to_lat(e["my2"])}
+    return D.mixed(spark, sf_dir).select("x", "y", "power", *[F.round(v * F.lit(1e7)).cast("bigint").alias(k) for k, v in back.items()])
 
 
 @query(
@@ -415,19 +429,12 @@ _EAST = D.Grid(170.0, 20.0, 16.0, 20.0)
 
 @query(
     "mvt_antimeridian",
-    "with {0}, e as (select x, y, power, {mx1} as m1, {mx2} as m2, {my1} as f1, {my2} as f2 from dense where y < 64), c as (select x, y, unnest(case when m2 > 1 and m1 < 1 then [-1.0e0, 0.0e0] when m2 > 1 then [-1.0e0] else [0.0e0] end) as w, m1, m2, f1, f2 from e),".format(DENSE, **_grid(_EAST))
+    "with {0}, e as (select x, y, power, {mx1} as m1, {mx2} as m2, {my1} as f1, {my2} as f2 from dense), c as (select x, y, unnest(case when m2 > 1 and m1 < 1 then [-1.0e0, 0.0e0] when m2 > 1 then [-1.0e0] else [0.0e0] end) as w, m1, m2, f1, f2 from e),".format(DENSE, **_grid(_EAST))
     + """t as (select * from (values (0), (31)) t(tx)), r as (select x as gx, y as gy, tx, cast(least(greatest(floor(((m1 + w) * 32.0e0 - tx) * 4096.0e0 + 0.5e0), -32), 4128) as int) as x1, cast(least(greatest(floor(((m2 + w) * 32.0e0 - tx) * 4096.0e0 + 0.5e0), -32), 4128) as int) as x2,
   cast(least(greatest(floor((f1 * 32.0e0 - 13) * 4096.0e0 + 0.5e0), -32), 4128) as int) as y1, cast(least(greatest(floor((f2 * 32.0e0 - 13) * 4096.0e0 + 0.5e0), -32), 4128) as int) as y2 from c cross join t)
 select gx, gy, tx, x1, y1, x2, y2 from r where x1 < x2 and y1 < y2""",
 )
 def mvt_antimeridian(spark, sf_dir):
-    cells = D.dense(spark, sf_dir).where("y < 64").select(F.lit(5).alias("z"), F.explode(F.array(F.lit(0), F.lit(31))).alias("tx"), F.lit(13).alias("ty"), F.col("x").alias("gx"), F.col("y").alias("gy"), "power")
-    return V.pixel_rects(cells, _EAST).select("gx", "gy", "tx", "x1", "y1", "x2", "y2")
-
-
-@query("mvt_antimeridian_whole", ORACLES["mvt_antimeridian"].replace(" where y < 64", ""))
-def mvt_antimeridian_whole(spark, sf_dir):
-    """mvt_antimeridian over the whole lattice: the tile decides which rows give rectangles."""
     cells = D.dense(spark, sf_dir).select(F.lit(5).alias("z"), F.explode(F.array(F.lit(0), F.lit(31))).alias("tx"), F.lit(13).alias("ty"), F.col("x").alias("gx"), F.col("y").alias("gy"), "power")
     return V.pixel_rects(cells, _EAST).select("gx", "gy", "tx", "x1", "y1", "x2", "y2")
 

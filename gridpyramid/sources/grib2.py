@@ -1,7 +1,8 @@
 """Reader for GRIB edition 2 files (WMO FM 92), as rows for Spark.
 
-A file is read by one task, message by message; the grids come out as Arrow
-batches of points. Simple packing (5.0), complex packing with spatial
+A file is split into fields by one task, and only headers are read at first;
+the fields that are wanted are then dealt to tasks one by one and decoded to
+points. Simple packing (5.0), complex packing with spatial
 differences (5.3) and run-length levels (5.200) are decoded with numpy. What
 is not supported raises GribError with the reason.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -51,6 +52,7 @@ class Header:
     surface_factor: int = 0
     surface_value: int = 0
     ensemble: tuple[int, int] | None = None
+    storm: int | None = None
     reference_value: float = 0.0
     binary_scale: int = 0
     decimal_scale: int = 0
@@ -96,11 +98,15 @@ def _grid(s: bytes, h: Header) -> None:
     h.south_first = s[71] == 64
     if not h.ni or not h.nj:
         raise GribError("an empty grid")
+    if not h.di or not h.dj:
+        raise GribError("grid increments must be positive")
 
 
 #: Place of the end of the period, and of the first time range's process, by statistical template.
 _PERIOD = {8: 34, 11: 37, 50008: 34, 50009: 34, 50011: 37, 50012: 37}
 _INSTANT = (0, 1, 50000, 50031)
+#: Place of the storm's number in the template of storms, behind the forecast time.
+_STORM = 22
 
 
 def _product(s: bytes, h: Header) -> None:
@@ -110,6 +116,14 @@ def _product(s: bytes, h: Header) -> None:
     h.category, h.number, h.process_type, h.background = s[9], s[10], s[11], s[12]
     h.cutoff_hours, h.unit = struct.unpack(">H", s[14:16])[0], s[17]
     h.forecast_time = struct.unpack(">I", s[18:22])[0]
+    if h.template == 50031:
+        if h.background != 170:
+            raise GribError(f"storms of the background process {h.background}")
+        h.storm, h.process_type = struct.unpack(">H", s[_STORM : _STORM + 2])[0], 2
+        h.surface, h.surface_factor, h.surface_value, h.ensemble, h.statistic = 255, 0, 0, None, None
+        h.valid_time = valid_time(h.reference_time, h.unit, h.forecast_time)
+        return
+    h.storm = None
     h.surface, h.surface_factor, h.surface_value = s[22], _signed(s[23:24]), struct.unpack(">I", s[24:28])[0]
     h.ensemble = (s[34], s[35]) if h.template in (1, 11, 50011) else None
     at = _PERIOD.get(h.template)
@@ -131,8 +145,8 @@ def _representation(s: bytes, h: Header) -> None:
         h.packing = {"template": template, "count": count, "bits": s[19]}
         if template == 3:
             h.packing |= {"missing": s[22], "groups": struct.unpack(">I", s[31:35])[0], "width_ref": s[35], "width_bits": s[36], "length_ref": struct.unpack(">I", s[37:41])[0], "length_inc": s[41], "length_last": struct.unpack(">I", s[42:46])[0], "length_bits": s[46], "order": s[47], "extra": s[48]}
-            if h.packing["missing"]:
-                raise GribError("missing value management of complex packing is not supported")
+            if h.packing["missing"] > 2:
+                raise GribError(f"missing value management {h.packing['missing']} of complex packing")
     elif template == 200:
         bits, most, levels, scale = struct.unpack(">BHHB", s[11:17])
         table = struct.unpack(f">{levels}H", s[17 : 17 + 2 * levels])
@@ -158,7 +172,10 @@ def decode_simple(raw: bytes, p: dict) -> np.ndarray:
 
 
 def decode_complex(raw: bytes, p: dict) -> np.ndarray:
-    """Template 7.3: groups of differing widths, then spatial differences undone."""
+    """Template 7.3: groups of differing widths, then spatial differences undone.
+
+    With missing value management the greatest code of a group (and with 2 the one below as well) is a missing value, which has no part in the differences.
+    """
     n, extra, order = p["groups"], p["extra"], p["order"]
     if order not in (1, 2):
         raise GribError(f"spatial differences of order {order}")
@@ -178,24 +195,39 @@ def decode_complex(raw: bytes, p: dict) -> np.ndarray:
     if n:
         lengths[-1] = p["length_last"]
     out = np.repeat(references, lengths)
+    managed = p.get("missing", 0)
+    holes = np.zeros(len(out), bool)
     bit, start, body = 0, 0, raw[at:]
     for w, length in zip(widths.tolist(), lengths.tolist()):
         if w:
             first = bit // 8
             part = body[first : (bit + w * length + 7) // 8]
-            out[start : start + length] += unpack_bits(part, w, length, bit - 8 * first)
+            codes = unpack_bits(part, w, length, bit - 8 * first)
+            out[start : start + length] += codes
+            if managed:
+                holes[start : start + length] = codes >= (1 << w) - managed
+        elif managed and length and p["bits"]:
+            holes[start : start + length] = out[start] >= (1 << p["bits"]) - managed
         bit += w * length
         start += length
     if len(out) != p["count"]:
         raise GribError("groups do not add up to the number of values")
-    out += least
+    if holes.any():
+        full = np.full(len(out), MISSING, np.int64)
+        full[~holes] = _undone(out[~holes] + least, heads)
+        return full
+    return _undone(out + least, heads)
+
+
+def _undone(out: np.ndarray, heads: list[int]) -> np.ndarray:
+    """Values from their spatial differences, whose order is the number of heads."""
     out[: len(heads)] = heads[: len(out)]
-    if order == 1:
+    if len(heads) == 1:
         return np.cumsum(out)
     steps = out.copy()
     steps[1:2] = out[1:2] - out[:1]
     steps[1:] = np.cumsum(steps[1:])
-    steps[0] = out[0]
+    steps[:1] = out[:1]
     return np.cumsum(steps)
 
 
@@ -224,9 +256,9 @@ def decode_runs(raw: bytes, p: dict) -> np.ndarray:
     return out[: p["count"]]
 
 
-def messages(raw: bytes):
-    """(Header, values or MISSING by row of the grid) of each field of a file."""
-    raw, at, bitmap = opened(raw), 0, None
+def fields(raw: bytes):
+    """(Header, packed data, bitmap or None) of each field of a file; nothing is decoded."""
+    raw, at = opened(raw), 0
     while at < len(raw):
         if raw[at : at + 4] != b"GRIB" or raw[at + 7] != 2:
             raise GribError("not a GRIB edition 2 message")
@@ -251,27 +283,40 @@ def messages(raw: bytes):
                 _representation(s, h)
             elif kind == 6:
                 if s[5] == 0:
-                    bitmap = np.unpackbits(np.frombuffer(s, np.uint8, offset=6))[: h.ni * h.nj].astype(bool)
+                    bitmap = s[6:]
                 elif s[5] == 255:
                     bitmap = None
                 elif s[5] != 254:
                     raise GribError(f"unsupported bitmap {s[5]}")
+                elif bitmap is None:
+                    raise GribError("a bitmap that refers to an earlier one, but there is none")
             elif kind == 7:
-                decode = {0: decode_simple, 3: decode_complex, 200: decode_runs}[h.packing["template"]]
-                values = decode(s[5:], h.packing)
-                if bitmap is not None:
-                    full = np.full(h.ni * h.nj, MISSING, np.int64)
-                    if int(bitmap.sum()) > len(values):
-                        raise GribError("fewer values than the bitmap marks")
-                    full[bitmap] = values[: int(bitmap.sum())]
-                    values = full
-                if len(values) < h.ni * h.nj:
-                    raise GribError("fewer values than the grid has")
-                yield h, values[: h.ni * h.nj].reshape(h.nj, h.ni)
+                yield replace(h), s[5:], bitmap
             place += size
         at = place + 4
 
 
+def decoded(h: Header, body: bytes, bitmap: bytes | None) -> np.ndarray:
+    """Values, or MISSING, by row of the grid."""
+    values = {0: decode_simple, 3: decode_complex, 200: decode_runs}[h.packing["template"]](body, h.packing)
+    if bitmap is not None:
+        present = np.unpackbits(np.frombuffer(bitmap, np.uint8))[: h.ni * h.nj].astype(bool)
+        full = np.full(h.ni * h.nj, MISSING, np.int64)
+        if len(present) < len(full) or int(present.sum()) > len(values):
+            raise GribError("fewer values than the bitmap marks")
+        full[present] = values[: int(present.sum())]
+        values = full
+    if len(values) < h.ni * h.nj:
+        raise GribError("fewer values than the grid has")
+    return values[: h.ni * h.nj].reshape(h.nj, h.ni)
+
+
+def messages(raw: bytes):
+    """(Header, values or MISSING by row of the grid) of each field of a file."""
+    for h, body, bitmap in fields(raw):
+        yield h, decoded(h, body, bitmap)
+
+
 def refined(lng_denom: float, lat_denom: float, h: Header) -> tuple[float, float]:
     """Cells a degree: the configured ones unless the file's increments are finer."""
     return tuple(1e6 / d if d and d + 1 < 1e6 / denom else denom for d, denom in ((h.di, lng_denom), (h.dj, lat_denom)))
@@ -310,40 +355,74 @@ def points(h: Header, values: np.ndarray, lng_0: float, lat_0: float, lng_denom:
     return {"x": x[i].astype(np.int32), "y": y[j].astype(np.int32), "power": np.full(len(i), width.bit_length() - 1, np.int32), "value": values[j, i].astype(np.int32)}
 
 
-SCHEMA = (
-    "path string, background int, category int, number int, statistic int, cutoff_hours int, forecast_time int, process_type int, lo2 int, surface int, surface_factor int, surface_value long,"
-    " reference_time timestamp, valid_time timestamp, reference_value float, binary_scale int, decimal_scale int, header_id long, x int, y int, power int, value int"
-)
-
+#: Columns of a field's header.
+_NUMBERS = ("background", "category", "number", "statistic", "cutoff_hours", "forecast_time", "process_type", "lo2", "di", "dj", "surface", "surface_factor", "surface_value", "binary_scale", "decimal_scale", "storm")
+HEADERS = "path string, header_id long, reference_time timestamp, valid_time timestamp, reference_value double, ensemble_type long, ensemble_number long, " + ", ".join(f"{n} long" for n in _NUMBERS)
+#: Points of a field that come in one row.
+TOGETHER = 200_000
 
-def read(spark, path: str, lng_0: float, lat_0: float, lng_denom: float, lat_denom: float):
-    """Points of all fields of the files at a path, with their headers, on one configured grid.
-
-    One task reads a file; the files' bytes come through Spark's own readers.
-    """
-    import pandas as pd
 
+def _files(spark, path: str):
     from ..functions.session import ship
 
     ship(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def headers(spark, path: str):
+    """A row for each field of the files at a path, without decoding any; header_id counts the fields of a file."""
 
     def rows(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                for k, (h, values) in enumerate(messages(bytes(content))):
-                    p = points(h, values, lng_0, lat_0, *refined(lng_denom, lat_denom, h))
-                    n = len(p["x"])
-                    head = {c: getattr(h, c) for c in ("background", "category", "number", "statistic", "cutoff_hours", "forecast_time", "process_type", "lo2", "surface", "surface_factor", "surface_value", "reference_time", "valid_time", "reference_value", "binary_scale", "decimal_scale")}
-                    for i in range(0, n, 200_000):
-                        m = min(n, i + 200_000) - i
-                        frame = pd.DataFrame({c: v[i : i + m] for c, v in p.items()})
-                        for c, v in head.items():
-                            frame[c] = pd.Series([v] * m, dtype="Int32" if c == "statistic" else None)
-                        frame["path"], frame["header_id"] = name, k
-                        yield frame[[x.strip().split()[0] for x in SCHEMA.split(",")]]
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(rows, SCHEMA)
+        import pyarrow as pa
+
+        texts = {"path": pa.string(), "reference_time": pa.timestamp("us", "UTC"), "valid_time": pa.timestamp("us", "UTC"), "reference_value": pa.float64()}
+        schema = pa.schema([(c.split()[0], texts.get(c.split()[0], pa.int64())) for c in HEADERS.split(", ")])
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                found = []
+                for k, (h, _, _) in enumerate(fields(content.as_py())):
+                    kind, member = h.ensemble or (None, None)
+                    own = {n: getattr(h, n) for n in (*_NUMBERS, "reference_time", "valid_time", "reference_value")}
+                    found.append(own | {"path": name.as_py(), "header_id": k, "ensemble_type": kind, "ensemble_number": member})
+                yield pa.RecordBatch.from_pylist(found, schema)
+
+    return _files(spark, path).mapInArrow(rows, HEADERS)
+
+
+def cells(spark, path: str, wanted):
+    """path, header_id, power, and arrays x, y and value of the wanted fields; a field has a row for each TOGETHER points.
+
+    wanted has path, header_id, lng_0, lat_0, lng_denom and lat_denom. Only wanted fields are dealt and decoded, each by a task of its own choice.
+    """
+
+    def split(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                for k, field_ in enumerate(fields(content.as_py())):
+                    yield pa.RecordBatch.from_pydict({"path": [name.as_py()], "header_id": [k], "packed": [pickle.dumps(field_)]})
+
+    def decode(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        kinds = pa.schema([("path", pa.string()), ("header_id", pa.int64()), ("power", pa.int32()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("value", pa.list_(pa.int32()))])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                h, body, bitmap = pickle.loads(row["packed"])
+                p = points(h, decoded(h, body, bitmap), row["lng_0"], row["lat_0"], row["lng_denom"], row["lat_denom"])
+                for at in range(0, len(p["x"]), TOGETHER):
+                    part = {c: [v[at : at + TOGETHER]] for c, v in p.items() if c != "power"}
+                    yield pa.RecordBatch.from_pydict({"path": [row["path"]], "header_id": [row["header_id"]], "power": [int(p["power"][0])]} | part, kinds)
+
+    packed = _files(spark, path).mapInArrow(split, "path string, header_id long, packed binary")
+    dealt = packed.join(wanted, ["path", "header_id"]).repartition("path", "header_id")
+    return dealt.mapInArrow(decode, "path string, header_id long, power int, x array<int>, y array<int>, value array<int>")
 
 
 # -- writing, for tests and exports ------------------------------------------
@@ -363,8 +442,9 @@ def write_message(h: Header, values: np.ndarray, bits: int = 16) -> bytes:
     one = struct.pack(">HHBBBHBBBBBBB", 34, 0, 5, 1, 1, t.year, t.month, t.day, t.hour, t.minute, t.second, 0, 1)
     three = struct.pack(">BIBBH", 0, h.ni * h.nj, 0, 0, 0) + bytes([6]) + bytes(15) + struct.pack(">II", h.ni, h.nj) + bytes(8)
     three += _sign(h.la1, 4) + _sign(h.lo1, 4) + bytes([0x30]) + _sign(h.la2, 4) + _sign(h.lo2, 4) + struct.pack(">IIB", h.di, h.dj, 64 if h.south_first else 0)
-    four = struct.pack(">HH", 0, 0) + bytes([h.category, h.number, h.process_type, h.background, 0]) + struct.pack(">HB", h.cutoff_hours, 0) + bytes([h.unit])
-    four += struct.pack(">I", h.forecast_time) + bytes([h.surface]) + _sign(h.surface_factor, 1) + struct.pack(">I", h.surface_value) + bytes([255, 0]) + bytes(4)
+    four = struct.pack(">HH", 0, h.template) + bytes([h.category, h.number, h.process_type, h.background, 0]) + struct.pack(">HB", h.cutoff_hours, 0) + bytes([h.unit])
+    four += struct.pack(">I", h.forecast_time)
+    four += struct.pack(">H", h.storm) if h.storm is not None else bytes([h.surface]) + _sign(h.surface_factor, 1) + struct.pack(">I", h.surface_value) + bytes([255, 0]) + bytes(4)
     flat = values.ravel()
     present = flat != MISSING
     five = struct.pack(">IH", int(present.sum()), 0) + struct.pack(">f", h.reference_value) + _sign(h.binary_scale, 2) + _sign(h.decimal_scale, 2) + bytes([bits, 0])

@@ -46,8 +46,6 @@ def test_query_without_sql_has_rows(spark, name):
 
 
 def test_antimeridian_takes_the_whole_lattice(spark, duck):
-    whole, part = (registry.QUERIES[n](spark, DATA) for n in ("mvt_antimeridian_whole", "mvt_antimeridian"))
-    rows = {r.gy for r in whole.select("gy").distinct().collect()}
-    assert max(rows) >= 64
-    assert rows == {r[0] for r in duck.sql(f"select distinct gy from ({registry.ORACLES['mvt_antimeridian_whole']})").fetchall()}
-    assert part.exceptAll(whole.where("gy < 64")).count() == 0 == whole.where("gy < 64").exceptAll(part).count()
+    rows = {r.gy for r in registry.QUERIES["mvt_antimeridian"](spark, DATA).select("gy").distinct().collect()}
+    assert max(rows) >= 64 and len(rows) > 150
+    assert rows == {r[0] for r in duck.sql(f"select distinct gy from ({registry.ORACLES['mvt_antimeridian']})").fetchall()}
