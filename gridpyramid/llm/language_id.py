@@ -5,6 +5,9 @@ language knows backs off to character n-grams of the word between two
 boundary marks, the longest order first, and takes the first order of which
 anything is known; each step down costs a fixed factor. Shorter orders always
 know something of a language's letters, so few words stay without a score.
+Words are runs of letters (Unicode category L) of the lower-cased text. Words
+and n-grams are kept as sorted 64-bit hashes with the log frequencies of the
+languages that have them, so that a batch of texts is scored by whole arrays.
 
 Rows: null texts and texts without letters give `und` with score 0; so does any
 text if nothing could be learned. Texts are read whole. A tie goes to the
@@ -16,95 +19,203 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+import sys
+import unicodedata
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, table
+from .common import python_ready, table, written
 
 #: The classifier is fitted on about this many labelled rows, chosen by a hash of the text.
 SAMPLE_ROWS = 6000
-#: Most words, and n-grams of each order, that the model keeps for one language.
-TOP_WORDS, TOP_GRAMS = 12_000, 5_000
 #: Orders of the back-off, and the factor that each step down costs.
 ORDERS, BACKOFF = (4, 3, 2, 1), 0.4
-#: Words of which a worker remembers the scores, and the longest such word.
-MEMORY, LONGEST = 40_000, 40
-#: Counts that a training task holds before it passes them on.
-TALLIED = 60_000
+#: Words that are counted or scored together.
+TOGETHER = 100_000
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+_ODD = np.random.default_rng(41).integers(1, 2**63, max(ORDERS) + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def grams(word: str, order: int) -> list[str]:
-    marked = f"^{word}$"
-    return [marked[i : i + order] for i in range(len(marked) - order + 1)] if order > 1 else list(word)
+def _letters() -> re.Pattern:
+    """Runs of letters (Unicode category L): word characters but digits, other numbers and the underscore."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+    return re.compile(f"[^\\W\\d_{re.escape(numbers)}]+")
+
+
+WORDS = _letters().findall
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word, none of which is empty."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    powers = np.full(int(sizes.max()), _ODD[-1], np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    return _mixed(np.add.reduceat(_mixed(_points("".join(words))) * powers[place], starts) + sizes.astype(np.uint64))
+
+
+def gram_hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the word) of all n-grams of the words between two boundary marks; of order 1 without the marks."""
+    marks = ("^", "$") if order > 1 else ("", "")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2 * (order > 1)
+    count = np.maximum(sizes - order + 1, 0)
+    word = np.repeat(np.arange(len(words)), count)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(sizes) - sizes, count)
+    points = _mixed(_points(marks[0] + (marks[1] + marks[0]).join(words) + marks[1]))
+    h = np.zeros(len(at), np.uint64)
+    for i in range(order):
+        h += points[at + i] * _ODD[i]
+    return _mixed(h), word
+
+
+class Table:
+    """Log frequencies of one order: for each known hash the languages that have it, and a floor for those that have not."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int):
+        order = np.lexsort((langs, keys))
+        keys, self.langs, counts = keys[order], langs[order].astype(np.int16), counts[order]
+        self.keys, first = np.unique(keys, return_index=True)
+        self.first = np.append(first, len(keys)).astype(np.int64)
+        totals = np.bincount(langs, counts[np.argsort(order)], n_langs) if len(langs) else np.zeros(n_langs)
+        self.floor = np.log(0.5 / (totals + len(self.keys) + 1))
+        self.values = np.log(counts / totals[self.langs])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hashes are known, a row of scores by language for each of those)."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros((0, len(self.floor)))
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[place] == hashes
+        place = place[known]
+        size = self.first[place + 1] - self.first[place]
+        row = np.repeat(np.arange(len(place)), size)
+        item = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[place], size)
+        out = np.tile(self.floor, (len(place), 1))
+        out[row, self.langs[item]] = self.values[item]
+        return known, out
 
 
 class Model:
-    """Counts of words (order 0) and n-grams by language, and the scores drawn from them."""
+    """Scores drawn from counts of words (order 0) and n-grams by language, kept as sorted hashes."""
 
     def __init__(self, counts: dict[str, dict[int, dict[str, int]]]):
-        self.langs = sorted(counts)
-        self.scores: dict[int, dict[str, tuple[float, ...]]] = {}
-        for order in (0, *ORDERS):
-            own = [counts[x].get(order, {}) for x in self.langs]
-            totals = [sum(x.values()) for x in own]
-            known = set().union(*own) if own else set()
-            floor = [math.log(0.5 / (t + len(known) + 1)) for t in totals]
-            self.scores[order] = {
-                g: tuple(math.log(x[g] / t) if g in x else f for x, t, f in zip(own, totals, floor)) for g in known
-            }
-        self.seen: dict[str, tuple[float, ...]] = {}
-
-    def __getstate__(self):
-        return {"langs": self.langs, "scores": self.scores, "seen": {}}
+        """counts by language, order and gram."""
+        rows = [(lang, o, int(_gram_hash(g, o)), n) for lang, orders in counts.items() for o, grams in orders.items() for g, n in grams.items()]
+        self._build(sorted(counts), pd.DataFrame(rows, columns=["lang", "o", "g", "n"]))
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Model:
+        """From columns lang, o (order), g (hash, as a signed long) and n (count)."""
+        model = cls.__new__(cls)
+        model._build(sorted(rows["lang"].unique()), rows.assign(g=rows["g"].to_numpy(np.int64).view(np.uint64)))
+        return model
+
+    def _build(self, langs: list[str], rows: pd.DataFrame) -> None:
+        self.langs, place = langs, {x: i for i, x in enumerate(langs)}
+        self.tables = {}
+        for o in (0, *ORDERS):
+            own = rows[rows["o"] == o]
+            lang = own["lang"].map(place).to_numpy(np.int64)
+            self.tables[o] = Table(own["g"].to_numpy(np.uint64), lang, own["n"].to_numpy(np.float64), len(langs))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log scores of distinct words by language; zeros where nothing at all is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        known, scores = self.tables[0].find(word_hashes(words))
+        out[known] = scores
+        open_ = np.flatnonzero(~known)
+        for step, order in enumerate(ORDERS, 1):
+            if not len(open_):
+                break
+            hashes, word = gram_hashes([words[i] for i in open_], order)
+            hit, scores = self.tables[order].find(hashes)
+            total, count = np.zeros((len(open_), len(self.langs))), np.bincount(word[hit], minlength=len(open_))
+            np.add.at(total, word[hit], scores)
+            some = count > 0
+            out[open_[some]] = step * math.log(BACKOFF) + total[some] / count[some, None]
+            open_ = open_[~some]
+        return out
 
     def word(self, word: str) -> tuple[float, ...]:
-        """Log score of a word in each language; zeros where nothing at all is known."""
-        found = self.seen.get(word)
-        if found is None:
-            found = self._word(word)
-            if len(self.seen) >= MEMORY:
-                self.seen.clear()
-            if len(word) <= LONGEST:
-                self.seen[word] = found
-        return found
-
-    def _word(self, word: str) -> tuple[float, ...]:
-        known = self.scores[0].get(word)
-        if known:
-            return known
-        for step, order in enumerate(ORDERS, 1):
-            table = self.scores[order]
-            hits = [s for s in map(table.get, grams(word, order)) if s]
-            if hits:
-                cost = step * math.log(BACKOFF)
-                return tuple(cost + sum(x) / len(hits) for x in zip(*hits))
-        return (0.0,) * len(self.langs)
+        return tuple(self.words([word])[0])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORDS(text.lower())) if text else None
-        if not words or not self.langs:
-            return "und", 0.0
-        totals = [0.0] * len(self.langs)
-        for w, n in words.items():
-            for i, s in enumerate(self.word(w)):
-                totals[i] += n * s
-        top = max(totals)
-        share = 1 / sum(math.exp(max(t - top, -700.0)) for t in totals)
-        return self.langs[totals.index(top)], share
+        langs, scores = self.predict_all([text])
+        return langs[0], float(scores[0])
+
+    def predict_all(self, texts) -> tuple[list[str], np.ndarray]:
+        """The language and the score of each text."""
+        totals, seen = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
+        held, owners, size = [], [], 0
+
+        def flush():
+            codes, distinct = pd.factorize(np.array(list(chain.from_iterable(held)), object))
+            scores = self.words(list(distinct))[codes]
+            starts = np.cumsum([0, *map(len, held)])[:-1]
+            np.add.at(totals, owners, np.add.reduceat(scores, starts))
+
+        for i, text in enumerate(texts):
+            words = WORDS(text.lower()) if text and self.langs else []
+            seen[i] = bool(words)
+            for at in range(0, len(words), TOGETHER):
+                held.append(words[at : at + TOGETHER])
+                owners.append(i)
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    flush()
+                    held, owners, size = [], [], 0
+        if held:
+            flush()
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best = totals.argmax(1)
+        top = totals[np.arange(len(texts)), best]
+        share = 1 / np.exp(np.maximum(totals - top[:, None], -700.0)).sum(1)
+        return [self.langs[b] if s else "und" for b, s in zip(best, seen)], np.where(seen, share, 0.0)
+
+
+def _gram_hash(gram: str, order: int) -> np.uint64:
+    """The hash of a word (order 0), or of an n-gram with its marks."""
+    if order == 0:
+        return word_hashes([gram])[0]
+    h = (_mixed(_points(gram)) * _ODD[:order]).sum(dtype=np.uint64)
+    return _mixed(np.array([h], np.uint64))[0]
+
+
+def counted(words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, hashes, counts) of words and their n-grams."""
+    codes, distinct = pd.factorize(np.array(words, object))
+    times = np.bincount(codes)
+    found = [(0, word_hashes(list(distinct)), times)]
+    for order in ORDERS:
+        hashes, word = gram_hashes(list(distinct), order)
+        keys, place = np.unique(hashes, return_inverse=True)
+        found.append((order, keys, np.bincount(place, times[word], len(keys)).astype(np.int64)))
+    return found
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model on about sample_rows rows that have a text and a language.
 
     The rows are those of the smallest hashes of the text, each text and label
-    once, so the choice does not depend on partitions. The counts are summed by Spark;
-    only the most frequent words and n-grams of each language, a number that
-    does not depend on the input, come to the driver.
+    once, so the choice does not depend on partitions. The counts are summed by
+    Spark; those of the sample, all of them, come to the driver: their number
+    is bounded by the words of sample_rows texts.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("__t"), F.col(lang_col).alias("__l"))
@@ -115,50 +226,34 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     python_ready(labelled.sparkSession)
 
     def tally(batches):
-        counts: Counter = Counter()
         for pdf in batches:
-            for text, lang in zip(pdf["__t"], pdf["__l"]):
-                for w, n in Counter(WORDS(text.lower())).items():
-                    counts[lang, 0, w] += n
-                    for order in ORDERS:
-                        for g in grams(w, order):
-                            counts[lang, order, g] += n
-            if len(counts) > TALLIED:
-                yield frame(counts)
-                counts = Counter()
-        yield frame(counts)
-
-    def frame(counts):
-        return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "o", "g", "n"]).astype({"o": "int32", "n": "int64"})
-
-    summed = rows.mapInPandas(tally, "lang string, o int, g string, n long").groupBy("lang", "o", "g").agg(F.sum("n").alias("n"))
-    # a histogram of counts on a log scale tells from which count on a gram is among the top
-    summed = summed.withColumn("b", F.floor(8 * F.log2("n")).cast("int"))
-    summed = summed.persist()
-    least: dict[tuple[str, int], int] = {}
-    room: dict[tuple[str, int], int] = defaultdict(int)
-    for r in summed.groupBy("lang", "o", "b").count().orderBy(F.desc("b")).collect():
-        key = (r["lang"], r["o"])
-        room[key] += r["count"]
-        if room[key] <= (TOP_GRAMS if r["o"] else TOP_WORDS):
-            least[key] = r["b"]
-    counts: dict[str, dict[int, dict[str, int]]] = {x: {} for x, _ in room}
-    if least:
-        limits = labelled.sparkSession.createDataFrame([(*k, b) for k, b in least.items()], "lang string, o int, m int")
-        for r in summed.join(F.broadcast(limits), ["lang", "o"]).where("b >= m").select("lang", "o", "g", "n").toLocalIterator():
-            counts[r["lang"]].setdefault(r["o"], {})[r["g"]] = r["n"]
-    summed.unpersist()
-    return Model(counts)
+            for lang, own in pdf.groupby("__l"):
+                held = []
+                for text in own["__t"]:
+                    held += WORDS(text.lower())
+                    while len(held) >= TOGETHER:
+                        yield from frames(lang, held[:TOGETHER])
+                        held = held[TOGETHER:]
+                if held:
+                    yield from frames(lang, held)
+
+    def frames(lang, words):
+        for order, hashes, n in counted(words):
+            yield pd.DataFrame({"lang": lang, "o": np.int32(order), "g": hashes.view(np.int64), "n": n})
+
+    summed = rows.mapInPandas(tally, "lang string, o int, g long, n long").groupBy("lang", "o", "g").agg(F.sum("n").alias("n"))
+    found = written(summed, "language-counts").toLocalIterator()
+    return Model.of(pd.DataFrame([tuple(r) for r in found], columns=["lang", "o", "g", "n"]))
 
 
 def predict(text: Column, model: Model, spark) -> Column:
     """struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by TOP_WORDS and TOP_GRAMS for each language
+    shared = spark.sparkContext.broadcast(model)  # bounded by the words of SAMPLE_ROWS texts
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+        langs, scores = shared.value.predict_all(list(texts))
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     python_ready(spark)
     return run.asNondeterministic()(text)  # else a filter on the result runs it twice

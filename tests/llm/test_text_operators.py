@@ -5,6 +5,7 @@ import json
 import math
 import re
 import time
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -294,12 +295,68 @@ def test_language_id(spark, odd, none):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
     assert found.where("score < 0 or score > 1").count() == 0
     for r in L.identify(odd).collect():
-        assert (r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or ""))
+        assert (r["lang_pred"] == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r["text"] or ""))
     assert L.identify(none).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in L.identify(unlabelled).collect()} == {("und", 0.0)}
 
 
+def plain_language(counts, text):
+    """The score of each language by strings and dicts: word first, then 4, 3, 2, 1 characters at a factor of 0.4 a step."""
+    langs = sorted(counts)
+    totals = {x: 0.0 for x in langs}
+    letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+
+    def score(lang, order, gram):
+        own = counts[lang][order]
+        known = {g for x in langs for g in counts[x][order]}
+        return math.log(own[gram] / sum(own.values())) if gram in own else math.log(0.5 / (sum(own.values()) + len(known) + 1))
+
+    for word in letters.split():
+        for step, order in enumerate((0, 4, 3, 2, 1)):
+            marked = word if order < 2 else f"^{word}$"
+            grams = [word] if order == 0 else [marked[i : i + order] for i in range(len(marked) - order + 1)]
+            hits = [g for g in grams if any(g in counts[x][order] for x in langs)]
+            if hits:
+                for x in langs:
+                    totals[x] += step * math.log(0.4) + sum(score(x, order, g) for g in hits) / len(hits)
+                break
+    if not letters.strip():
+        return "und", 0.0
+    top = max(totals.values())
+    return next(x for x in langs if totals[x] == top), 1 / sum(math.exp(t - top) for t in totals.values())
+
+
+def test_language_equals_plain_python(spark):
+    texts = [("the cat sat on the mat", "en"), ("der Hund und die Katze", "de"), ("le chat est là, été", "fr"), ("the dog and the bird", "en"), ("猫が好き です", "ja"), ("über Straße", "de")]
+    counts = {}
+    for text, lang in texts:
+        orders = counts.setdefault(lang, {o: {} for o in range(5)})
+        for word in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split():
+            for order in range(5):
+                marked = word if order < 2 else f"^{word}$"
+                for g in [word] if order == 0 else [marked[i : i + order] for i in range(len(marked) - order + 1)]:
+                    orders[order][g] = orders[order].get(g, 0) + 1
+    model = L.fit(spark.createDataFrame(texts, "text string, lang string"))
+    asked = ["The CAT", "Hunde", "chats étés", "xyzzy", "猫", "a", "2² ½ Ⅷ ①", "x² the", "_the_1und2", "der the le", "İstanbul ß", "", "  ", "zzz über qqq", "the " * 3000 + "und " * 3001]
+    langs, scores = model.predict_all(asked)
+    for text, lang, score in zip(asked, langs, scores):
+        want = plain_language(counts, text)
+        assert (lang, score) == (want[0], pytest.approx(want[1], rel=1e-9, abs=1e-12)), text
+    assert model.predict_all([None, "2² ½ Ⅷ ①"])[0] == ["und", "und"]
+
+
+def test_language_in_small_steps(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    same = lambda: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in L.identify(docs).collect())
+    want = same()
+    monkeypatch.setattr(L, "TOGETHER", 50)
+    model = L.fit(L.learnable(docs))
+    rows = docs.collect()
+    langs, scores = model.predict_all([r["text"] for r in rows])
+    assert sorted((r["doc_id"], x, round(float(y), 9)) for r, x, y in zip(rows, langs, scores)) == want
+
+
 def test_language_backs_off():
     m = L.Model({"x": {0: {"foo": 9}, 4: {"^foo": 9}, 3: {"^fo": 9}, 2: {"fo": 9}, 1: {"f": 9, "o": 9}}, "y": {0: {"bar": 9}, 4: {"^bar": 9}, 3: {"bar": 9}, 2: {"ba": 9}, 1: {"b": 9, "a": 9}}})
     assert m.predict("foo")[0] == "x" and m.predict("baz")[0] == "y" and m.predict("fooz")[0] == "x" and m.predict("12 !")[0] == "und"
