@@ -9,13 +9,10 @@ cannot clash with them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpyramid.functions.session import ship
+from gridpyramid.functions.session import shared_folder, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -31,18 +28,8 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which executors and driver share.
-
-    Only where the session has no such setting (tests in local mode) is a
-    folder of this machine taken and kept for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.gridpyramid.work.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="gridpyramid-")
-            spark.conf.set("spark.gridpyramid.work.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which executors and driver share; without that setting a local master takes one of this machine and a cluster raises an error."""
+    return shared_folder(spark, name)
 
 
 def written(df: DataFrame, name: str, compression: str = "none") -> DataFrame:

@@ -151,10 +151,12 @@ def probabilities(cells: DataFrame, rate: float = RATE, rounds: int = FACTOR_ROU
 def mix(docs: DataFrame, topic: Column | None = None, rate: float = RATE, exponents: dict[str, float] | None = None, seed: str = SEED, max_cells: int = MAX_CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs plus n_tokens, topic, weight (calibrated over plain), prob and kept."""
     own = [c for c in docs.columns if c not in ("n_tokens", "topic", "weight", "prob", "kept")]
-    none = F.lit("(none)")
     named = docs.withColumn("__tokens", n_tokens(F.col(text_col)))
-    named = named.withColumn("__topic", F.coalesce(form_topic(F.col(text_col), F.col("__tokens")) if topic is None else topic.cast("string"), none))
-    keys = {"source": F.coalesce(F.col("source").cast("string"), none), "lang": F.coalesce(F.col("lang").cast("string"), none), "topic": F.col("__topic")}
+    drawn = form_topic(F.col(text_col), F.col("__tokens")) if topic is None else topic.cast("string")
+    named = named.withColumn("__drawn", drawn).withColumn("__topic", F.coalesce("__drawn", F.lit("(none)")))
+    # a null is a category of its own, whatever the others are called
+    category = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    keys = {"source": category(F.col("source").cast("string")), "lang": category(F.col("lang").cast("string")), "topic": category(F.col("__drawn"))}
     cells, few = rake(named.select(*[v.alias(k) for k, v in keys.items()], "__tokens"), exponents, max_cells=max_cells)
     cells = written(probabilities(written(cells, "raked-cells"), rate), "mix-probabilities")
     cells = cells.select(*[F.col(d).alias(f"__c_{d}") for d in DIMENSIONS], F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0).alias("__w"), F.col("p").alias("__p"))

@@ -373,6 +373,15 @@ def test_mixing(spark, odd, none):
     assert sorted(map(str, M.mix(odd, max_cells=0).select("doc_id", "weight", "prob", "kept").collect())) == local
 
 
+def test_a_null_is_a_category_of_its_own(spark):
+    rows = [(i, "w " * (20 + i), [None, "(none)", "en"][i % 3], "s", [None, "(none)"][i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    found = M.mix(docs, topic=F.col("kind"), exponents={"source": 1.0, "lang": 0.0, "topic": 1.0}).toPandas()
+    shares = (found["weight"] * found["n_tokens"]).groupby(found["lang"].fillna("null")).sum()
+    assert len(shares) == 3 and (shares / shares.sum() - 1 / 3).abs().max() < 1e-5
+    assert set(found["topic"]) == {"(none)"} and len(found) == 60
+
+
 def test_language_model_is_fitted_on_distinct_texts(spark):
     """Copies do not narrow the sample: languages with few texts stay in the model."""
     rows = [("the same text", "en")] * 5000 + [(f"word{i} of {lang}", lang) for lang in ("de", "fr", "it") for i in range(30)]
