@@ -18,8 +18,16 @@ C. Blocks whose core is not alone fall into their windows, which are dealt
 
 Before each exchange a task keeps one row for each key and only announces keys
 that it has several rows of, so that a passage that a third of all documents
-hold costs one row per task. Across tasks two independent 64-bit hashes stand
-for the bytes.
+hold costs one row per task.
+
+What decides: in step A, for equal runs, the hash of the anchor and that of the
+whole run, which are of different seeds; no bytes are compared and no suffixes
+sorted there, and most repeats of whole copies end there. In step B the order of
+the suffixes and their bytes within a block of text, and two hashes of different
+seeds across blocks; in step C two hashes mixed from those of the core with the
+bytes around it. The hashes are polynomials modulo 2**64 over random values of
+the bytes: chance collisions are out of the question, but texts made for it
+(long strings of the Thue-Morse kind) collide in all of them and would count as equal.
 
 Rows: null and empty texts have no bytes and lose none; matches never cross
 rows; rows that share an id, or have none, are ordered by id (null first) and
@@ -138,7 +146,8 @@ def runs(texts: Texts, seed: int = 1):
         text[off] += 1
     cut = first + n - 1 + LENGTH > texts.starts[text] + texts.lengths[text]
     assert not cut.any()
-    return values[anchor[first]], hashes.of(first, n + LENGTH - 1), text, first - texts.starts[text], n, anchor[first] - first
+    whole = PrefixHash(data, seed + 1)  # a second seed: anchor and run are told apart by both
+    return values[anchor[first]], whole.of(first, n + LENGTH - 1), text, first - texts.starts[text], n, anchor[first] - first
 
 
 def _deal_runs(batches):
@@ -150,16 +159,14 @@ def _deal_runs(batches):
         if not len(k2):
             return []
         parts = []
-        order = np.argsort(k2, kind="stable")
-        s = k2[order]
-        again = np.concatenate(([False], s[1:] == s[:-1]))
+        order = np.lexsort((k1, k2))
+        again = ~_new(k1[order], k2[order])
         several = again.copy()
         several[:-1] |= again[1:]
         dup = order[several]
         if len(dup):  # equal runs: the earliest stays
-            dup = dup[np.lexsort((at[dup], ids[dup], k2[dup]))]
-            later = np.concatenate(([False], k2[dup][1:] == k2[dup][:-1]))
-            gone = dup[later]
+            dup = dup[np.lexsort((at[dup], ids[dup], k1[dup], k2[dup]))]
+            gone = dup[~_new(k1[dup], k2[dup])]
             parts.append(_claims(ids[gone], at[gone], n[gone]))
             stay = np.ones(len(k1), bool)
             stay[gone] = False
