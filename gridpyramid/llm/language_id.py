@@ -40,13 +40,17 @@ TOGETHER = 100_000
 _ODD = np.random.default_rng(41).integers(1, 2**63, max(ORDERS) + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters (Unicode category L): word characters but digits, other numbers and the underscore."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(f"[^\\W\\d_{re.escape(numbers)}]+")
+#: Word characters that are neither letters nor digits: other numbers, by rule.
+_NUMBERS = {c: " " for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")}
+_NUMBER_SET = frozenset(map(chr, _NUMBERS))
+_RUNS = re.compile(r"[^\W\d_]+").findall
 
 
-WORDS = _letters().findall
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L)."""
+    if not text.isascii() and not _NUMBER_SET.isdisjoint(text):
+        text = text.translate(_NUMBERS)
+    return _RUNS(text)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -170,7 +174,7 @@ class Model:
             np.add.at(totals, owners, np.add.reduceat(scores, starts))
 
         for i, text in enumerate(texts):
-            words = WORDS(text.lower()) if text and self.langs else []
+            words = words_of(text.lower()) if text and self.langs else []
             seen[i] = bool(words)
             for at in range(0, len(words), TOGETHER):
                 held.append(words[at : at + TOGETHER])
@@ -230,7 +234,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
             for lang, own in pdf.groupby("__l"):
                 held = []
                 for text in own["__t"]:
-                    held += WORDS(text.lower())
+                    held += words_of(text.lower())
                     while len(held) >= TOGETHER:
                         yield from frames(lang, held[:TOGETHER])
                         held = held[TOGETHER:]
