@@ -25,9 +25,9 @@ whole run, which are of different seeds; no bytes are compared and no suffixes
 sorted there, and most repeats of whole copies end there. In step B the order of
 the suffixes and their bytes within a block of text, and two hashes of different
 seeds across blocks; in step C two hashes mixed from those of the core with the
-bytes around it. The hashes are polynomials modulo 2**64 over random values of
-the bytes: chance collisions are out of the question, but texts made for it
-(long strings of the Thue-Morse kind) collide in all of them and would count as equal.
+bytes around it. The hashes are polynomials modulo the prime 2**61 - 1 over random values of
+the bytes, with bases of their own: two given strings of a run's length agree in both with a
+chance of about 1 in 10**32, whatever their form (Thue-Morse strings, which defeat powers of two, included).
 
 Rows: null and empty texts have no bytes and lose none; matches never cross
 rows; rows that share an id, or have none, are ordered by id (null first) and

@@ -16,25 +16,47 @@ import numpy as np
 U = np.uint64
 
 
+#: The prime modulus: no text of a special form collides for every base, as they do modulo a power of two.
+PRIME = U(2**61 - 1)
+CHUNK = 1 << 16
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers under 2**64 modulo the prime."""
+    x = (x & PRIME) + (x >> U(61))
+    return np.minimum(x, x - PRIME)  # below the prime, the difference wraps around to a large number
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves of 31 bits, so that nothing leaves 64 bits."""
+    half = U(2**31 - 1)
+    a1, a0, b1, b0 = a >> U(31), a & half, b >> U(31), b & half
+    middle = a1 * b0 + a0 * b1
+    return _folded(((a1 * b1) << U(1)) + (middle >> U(30)) + ((middle & U(2**30 - 1)) << U(31)) + a0 * b0)
+
+
 @lru_cache(maxsize=8)
 def _tables(seed: int) -> tuple[np.ndarray, int]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, 256, dtype=U) * U(2) + U(1), int(rng.integers(2**61, 2**63)) * 8 + 5
+    return rng.integers(1, int(PRIME), 256, dtype=U), int(rng.integers(2**60, int(PRIME)))
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+    """Powers of the base and of its inverse modulo the prime."""
     known = _POWERS.get(seed)
     if known is None or len(known[0]) < n:
-        base = _tables(seed)[1] % 2**64
-        out = []
-        for factor in (base, pow(base, -1, 2**64)):
-            p = np.full(n, factor, U)
-            p[0] = 1
-            out.append(np.cumprod(p, out=p))
+        base, out = _tables(seed)[1], []
+        for factor in (base, pow(base, -1, int(PRIME))):
+            p = np.ones(n, U)
+            have = 1
+            while have < n:
+                size = min(have, n - have, CHUNK)
+                p[have : have + size] = _product(p[:size], U(pow(factor, have, int(PRIME))))
+                have += size
+            out.append(p)
         if n > 1 << 23:  # a very long text: not kept
             return out[0], out[1]
         known = _POWERS[seed] = (out[0], out[1])
@@ -42,21 +64,33 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHash:
-    """Hashes of all substrings of a byte array."""
+    """Hashes of all substrings of a byte array, in chunks that fit a core's cache."""
 
     def __init__(self, data: np.ndarray, seed: int):
         n = len(data)
         power, self.inverse = _powers(seed, n + 1)
+        values = _tables(seed)[0]
         self.prefix = np.zeros(n + 1, U)
-        np.cumsum(_tables(seed)[0][data] * power[:n], out=self.prefix[1:])
+        for i in range(0, n, CHUNK):
+            terms = _product(values[data[i : i + CHUNK]], power[i : min(i + CHUNK, n)])
+            low, high = np.cumsum(terms & U(2**32 - 1)), np.cumsum(terms >> U(32))
+            sums = (high >> U(29)) + ((high & U(2**29 - 1)) << U(32)) + low
+            self.prefix[i + 1 : i + 1 + len(terms)] = _folded(sums + self.prefix[i])
+
+    def _between(self, low: np.ndarray, high: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return _product(_folded(high + (PRIME - low)), inverse)
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.prefix[start + length] - self.prefix[start]) * self.inverse[start]
+        return self._between(self.prefix[start], self.prefix[start + length], self.inverse[start])
 
     def every(self, length: int) -> np.ndarray:
         """Hashes of all substrings of one length, by start."""
-        n = len(self.prefix) - length
-        return (self.prefix[length:] - self.prefix[:n]) * self.inverse[:n]
+        n = max(0, len(self.prefix) - length)
+        out = np.empty(n, U)
+        for i in range(0, n, CHUNK):
+            end = min(i + CHUNK, n)
+            out[i:end] = self._between(self.prefix[i:end], self.prefix[i + length : end + length], self.inverse[i:end])
+        return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridpyramid.llm import minhash_neardup as M
 from gridpyramid.llm import suffix_dedup as S
+from gridpyramid.llm import suffix_sort
 from gridpyramid.llm.components import components
 from gridpyramid.llm.suffix_sort import PrefixHash, classes, suffix_order
 
@@ -281,3 +282,38 @@ def test_pipeline_on_odd_rows(spark):
         for _, stage in C.STAGES:
             now = stage(spark, now, "")
             now.count()
+
+
+def _thue_morse(levels: int) -> tuple[str, str]:
+    """Two strings whose polynomials agree modulo every power of two up to a size that grows with the levels."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hashes_tell_structured_texts_apart(seed):
+    for levels in (6, 7, 8, 10, 12):
+        a, b = (np.frombuffer(t.encode(), np.uint8) for t in _thue_morse(levels))
+        hashes = PrefixHash(np.concatenate((a, b)), seed)
+        one, two = hashes.of(np.array([0, len(a)]), len(a)).tolist()
+        assert (one ^ two) & 0xFFFF
+
+
+def test_hashes_are_polynomials_modulo_the_prime():
+    data = np.random.default_rng(3).integers(0, 256, 150_000).astype(np.uint8)  # over two chunks
+    hashes, whole = PrefixHash(data, 1), PrefixHash(data[70_000:], 1)
+    assert (hashes.every(40) == hashes.of(np.arange(len(data) - 39), 40)).all()
+    assert (hashes.every(40)[70_000:] == whole.every(40)).all()
+    values, base, prime = *suffix_sort._tables(1), 2**61 - 1
+    plain = 0
+    for i, byte in enumerate(data[:3000].tolist()):
+        plain = (plain + int(values[byte]) * pow(base, i, prime)) % prime
+    assert plain == int(hashes.prefix[3000])
+
+
+def test_substring_dedup_of_structured_texts(spark):
+    a, b = _thue_morse(9)
+    rows = [(1, a), (2, b), (3, a + b), (4, "x" + b[:150] + a[:150])]
+    assert digests(spark.createDataFrame([(i, t, 1, "k") for i, t in rows], SCHEMA)) == brute_removed(rows)
