@@ -6,10 +6,12 @@ the same in plain terms.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import geo as G
+from ..functions.session import ship
 from ..operators import pyramid as P
 from ..operators import quantize as Q
 from ..operators import raster as R
@@ -526,3 +528,83 @@ def raster_tiles(spark, sf_dir):
         owned = own if owned is None else owned.unionByName(own)
     placed = R.cells_by_tile(cells, owned, D.DENSE_GRID).withColumn("seq", F.lit(0))
     return R.tiles(placed, [F.col("b0") / 10.0, F.col("b1") / 10.0], R.Encoding.parse("vector-field:100"), D.DENSE_GRID).select("z", "x", "y", F.length("data").alias("n_bytes"))
+
+
+# -- archives --------------------------------------------------------------
+
+
+def _hilbert(z: int) -> str:
+    """Places along the Hilbert curve, one step for each halving of the square; the numbers of a step are its quadrants."""
+    steps, before = [f"h{z} as (select distinct tx, ty, tx as x, ty as y, 0 as d from fan)"], f"h{z}"
+    for k in reversed(range(z)):
+        s = 1 << k
+        right, low = f"x & {s} > 0", f"y & {s} > 0"
+        steps.append(
+            f"q{k} as (select tx, ty, ({right}) as r, ({low}) as l, x & {s - 1} as x, y & {s - 1} as y, d from {before}),"
+            f" h{k} as (select tx, ty, case when l then x when r then {s - 1} - y else y end as x, case when l then y when r then {s - 1} - x else x end as y,"
+            f" d + {s * s} * (case when r then case when l then 2 else 3 end when l then 1 else 0 end) as d from q{k})"
+        )
+        before = f"h{k}"
+    return f"{', '.join(steps)} select tx, ty, cast(d + {(4**z - 1) // 3} as bigint) as tile_id from {before}"
+
+
+@query("archive_tile_ids", f"with {DENSE}, {_fan('dense', D.DENSE_GRID, 5)}, {_hilbert(5)}")
+def archive_tile_ids(spark, sf_dir):
+    ship(spark)
+    place = F.pandas_udf(lambda x, y: pd.Series([G.hilbert_tile_id(5, a, b) for a, b in zip(x.tolist(), y.tolist())], dtype="int64"), "long")
+    return P.owned_tiles(D.dense(spark, sf_dir), D.DENSE_GRID, 5).select("tx", "ty", place("tx", "ty").alias("tile_id"))
+
+
+@query(
+    "archive_paths",
+    f"with {PRODUCTS}, t as (select distinct reference_time, valid_time from k), n as (select *, row_number() over (order by reference_time, valid_time) + 2 as seq from t),"
+    " p as (select valid_time, 'tiles/' || seq || '_' || strftime(valid_time, '%Y%m%d%H%M%S') || '_' || strftime(reference_time, '%Y%m%d%H%M%S') || '.pmtiles' as path from n)"
+    " select strftime(valid_time, '%Y-%m-%d') as day, path, '../../' || path as url from p",
+)
+def archive_paths(spark, sf_dir):
+    """Archives of a series by time; the list has one entry a time, whatever the points' number."""
+    keys = S.product_keys(D.sparse(spark, sf_dir)).select("reference_time", "valid_time").distinct()
+    times = [tuple(r) for r in keys.orderBy("reference_time", "valid_time").collect()]
+    paths = S.output_paths("tiles/{seq}_{valid_time}_{reference_time}.pmtiles", times, 3)
+    rows = [(valid.strftime("%Y-%m-%d"), path, S.relative_url("manifests/series", path)) for (_, valid), path in zip(times, paths)]
+    return spark.createDataFrame(rows, "day string, path string, url string")
+
+
+@query("band_rename", f"with {VECTOR} select selector, min(b0) as min_speed, max(b0) as max_speed, min(b1) as min_v, max(b1) as max_v from vec group by 1")
+def band_rename(spark, sf_dir):
+    names = S.renamed(["b0", "b1"], ["b0=u", "u=speed", "b1=v"])
+    points = D.vector(spark, sf_dir).select("selector", *[F.col(old).alias(new) for old, new in zip(["b0", "b1"], names)])
+    return S.band_statistics(points, names)
+
+
+_SPANS = "select event_id, cast(user_id * 37 % 1000 - 500 as double) as w, cast(user_id * 37 % 1000 - 500 + event_id % 400 as double) as e, cast(event_id % 200 - 100 as double) as s, cast(event_id % 200 - 100 + user_id % 30 as double) as n from events"
+
+
+@query(
+    "bounds_normalised",
+    f"with a as ({_SPANS}), b as (select *, floor((w + 180) / 360) * 360 as turn from a), c as (select *, e - w >= 360 or e - turn > 180 as whole from b)"
+    " select event_id, case when whole then -180.0e0 else w - turn end as west, greatest(-90.0e0, least(90.0e0, s)) as south, case when whole then 180.0e0 else e - turn end as east, greatest(-90.0e0, least(90.0e0, n)) as north from c",
+)
+def bounds_normalised(spark, sf_dir):
+    ship(spark)
+    spans = spark.sql(_SPANS.replace("from events", "from {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    sides = ["west", "south", "east", "north"]
+    within = F.pandas_udf(lambda *span: pd.DataFrame([G.normalised_bounds(*r) for r in zip(*[v.tolist() for v in span])], columns=sides), "west double, south double, east double, north double")
+    return spans.select("event_id", within("w", "s", "e", "n").alias("bounds")).select("event_id", "bounds.*")
+
+
+@query(
+    "level_descriptors",
+    f"with l as ({_LEVELS}) select event_id, case code when 1 then 'surface' when 3 then 'cloud-tops' when 100 then 'isobaric' when 101 then 'mean-sea-level' when 103 then 'height' when 160 then 'depth-below-sea-level' when 200 then 'tank-total' when 201 then 'tank' end as type,"
+    " case when code in (100, 103, 160) then v * pow(10.0e0, -f) when code = 201 then cast(v as double) end as value, case when code = 100 then 'Pa' when code in (103, 160) then 'm' end as unit from l",
+)
+def level_descriptors(spark, sf_dir):
+    ship(spark)
+
+    @F.pandas_udf("type string, value double, unit string")
+    def described(kind: pd.Series, value: pd.Series, factor: pd.Series) -> pd.DataFrame:
+        found = [C.level_descriptor(*level) or {} for level in zip(kind.tolist(), value.tolist(), factor.tolist())]
+        return pd.DataFrame([(d.get("type"), d.get("value"), d.get("unit")) for d in found], columns=["type", "value", "unit"])
+
+    kind = C.surface_type(F.col("code"))
+    return _levels(spark, sf_dir).select("event_id", described(kind, "v", "f").alias("level")).select("event_id", "level.*")
