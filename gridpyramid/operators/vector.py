@@ -264,3 +264,84 @@ def tiles(layer_rows: DataFrame) -> DataFrame:
 
     rows = layer_rows.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
     return rows.select("z", "x", "y", zipped("parts").alias("data"))
+
+
+def _messages(data: bytes):
+    """(field number, value) of a message: bytes for lengths and doubles, whole numbers otherwise."""
+
+    def varint(at):
+        n = shift = 0
+        while True:
+            byte = data[at]
+            n, at, shift = n | (byte & 127) << shift, at + 1, shift + 7
+            if byte < 128:
+                return n, at
+
+    at = 0
+    while at < len(data):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = (8, at) if tag & 7 == 1 else varint(at)
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def _numbers(packed: bytes) -> list[int]:
+    out, n, shift = [], 0, 0
+    for byte in packed:
+        n, shift = n | (byte & 127) << shift, shift + 7
+        if byte < 128:
+            out.append(n)
+            n = shift = 0
+    return out
+
+
+def _rings(numbers: list[int]) -> list[list[tuple[int, int]]]:
+    rings, x, y, at = [], 0, 0, 0
+    while at < len(numbers):
+        command, count = numbers[at] & 7, numbers[at] >> 3
+        at += 1
+        if command == 7:
+            continue
+        if command == 1:
+            rings.append([])
+        for _ in range(count):
+            x, y = x + (numbers[at] >> 1 ^ -(numbers[at] & 1)), y + (numbers[at + 1] >> 1 ^ -(numbers[at + 1] & 1))
+            rings[-1].append((x, y))
+            at += 2
+    return rings
+
+
+def decode_tile(data: bytes) -> list[tuple[str, int | None, dict, list]]:
+    """(layer, id, attributes, rings) of every feature of a gzipped tile."""
+    out = []
+    for _, layer in _messages(gzip.decompress(data)):
+        name, keys, values, features = "", [], [], []
+        for number, value in _messages(layer):
+            if number == 1:
+                name = value.decode()
+            elif number == 2:
+                features.append(dict(_messages(value)))
+            elif number == 3:
+                keys.append(value.decode())
+            elif number == 4:
+                kind, raw = next(_messages(value))
+                values.append(struct.unpack("<d", raw)[0] if kind == 3 else raw >> 1 ^ -(raw & 1))
+        for f in features:
+            tags = _numbers(f.get(2, b""))
+            out.append((name, f.get(1), {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}, _rings(_numbers(f[4]))))
+    return out
+
+
+def tile_features(tile_rows: DataFrame) -> DataFrame:
+    """z, x, y, layer, id, attributes (as doubles) and area, holes taken off, of the features in tiles."""
+    ship(tile_rows.sparkSession)
+
+    def decoded(batches):
+        for pdf in batches:
+            rows = [(t.z, t.x, t.y, name, i, {k: float(v) for k, v in given.items()}, int(sum(ring_area(r) for r in rings))) for t in pdf.itertuples() for name, i, given, rings in decode_tile(bytes(t.data))]
+            yield pd.DataFrame(rows, columns=["z", "x", "y", "layer", "id", "attributes", "area"])
+
+    return tile_rows.mapInPandas(decoded, "z int, x int, y int, layer string, id long, attributes map<string, double>, area long")

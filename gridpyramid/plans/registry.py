@@ -449,6 +449,17 @@ def mvt_tiles(spark, sf_dir):
     return V.tiles(V.layers(rects, ["b0"], ["value"], {"b0": q.output(F.col("b0"))}, {"b0": q.integral}))
 
 
+_AREAS = f"select z, tx as x, ty as y, 'classes' as layer, cast(c as bigint) as id, c * 1.5e0 as value, area from ({ORACLES['mvt_union_area']})"
+
+
+@query("mvt_decoded", _AREAS)
+def mvt_decoded(spark, sf_dir):
+    """The features in the bytes of the tiles."""
+    rects = _classed(spark, sf_dir).withColumns({"seq": F.lit(0), "layer_name": F.lit("classes")})
+    found = V.tile_features(V.tiles(V.layers(rects, ["c"], ["value"], {"c": F.col("c") * 1.5}, {"c": False})))
+    return found.select("z", "x", "y", "layer", "id", F.col("attributes")["value"].alias("value"), "area")
+
+
 # -- raster tiles ----------------------------------------------------------
 
 
