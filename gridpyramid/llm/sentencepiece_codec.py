@@ -2,35 +2,51 @@
 
 A chunk is a run of whitespace markers and the characters up to the next
 marker. If no piece of the vocabulary has a marker after another character, no
-merge can cross from one chunk into the next; every distinct chunk is then
-segmented once and its ids are joined back by the chunk's position. The table
-is local to a worker and bounded, since a corpus-wide table would need a
-shuffle of every word. A model that breaks the condition, or that normalises
-text, gets whole texts instead.
+merge can cross from one chunk into the next, and every distinct chunk of the
+corpus is segmented once:
+
+1. Documents are gathered into blocks of about BLOCK characters. A block keeps
+   its documents as codes of chunks and lists its distinct chunks, dealt into
+   parts by a hash; both are written to the shared folder, packed.
+2. A part's task takes the lists of all blocks, segments each distinct chunk
+   once and returns to each block the ids of its chunks, in their order.
+3. A block meets its ids, joins them by the chunks' positions and decodes.
+
+A list names a chunk once a block, so that a frequent word is no hot key, and
+parts grow in number with the text. Chunks of over LONG_CHUNK characters are
+segmented once a block, where they stand, since lists of them have no bound. A
+model that breaks the condition, or that normalises text, gets whole texts.
 
 Rows: null and empty texts have no ids and decode to the empty text; a text is
 never cut, however long; repeated rows give repeated results; an empty table
-gives no rows. Other columns are carried or ignored, never read.
+gives no rows. Other columns are ignored, never read. Ids of documents of any
+type that a cast to string and back keeps.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+import zlib
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, table
+from .common import python_ready, table, written
 
 MARK = "▁"
-#: Distinct chunks that a worker remembers before it starts its table anew.
+#: Distinct chunks that sp_encode() remembers in a worker before it starts its table anew.
 TABLE_SIZE = 150_000
-#: Longer chunks are segmented but not remembered.
+#: Longer chunks are segmented but neither dealt nor remembered.
 LONG_CHUNK = 64
+#: Characters of a block, and of the text for each task that works on parts or blocks; FEWEST such tasks, with PARTS parts each.
+BLOCK, SHARE, FEWEST, PARTS = 16 << 20, 32 << 20, 32, 2
 
 
 class Codec:
@@ -69,17 +85,15 @@ class Codec:
         if len(known) > TABLE_SIZE:
             known.clear()
         new = [c for c in set(chunks) if c not in known]
-        # the model itself puts the first marker in front
-        found = self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1) if new else []
-        once = {c: tuple(map(self.ids.__getitem__, ids)) for c, ids in zip(new, found)}
-        if MARK in once:
-            once[MARK] = self._lone_mark()
+        once = {c: tuple(map(self.ids.__getitem__, ids)) for c, ids in zip(new, self.segment(new))}
         known.update((c, ids) for c, ids in once.items() if len(c) <= LONG_CHUNK)
         return [known[c] if c in known else once[c] for c in chunks]
 
-    def _lone_mark(self) -> tuple[int, ...]:
-        """Ids of a single marker: the library has no text for it alone."""
-        return (self.model.piece_to_id(MARK),)
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk."""
+        # the model itself puts the first marker in front, but has no text for a single marker
+        found = self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1) if chunks else []
+        return [ids if c != MARK else [self.model.piece_to_id(MARK)] for c, ids in zip(chunks, found)]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids) if ids else ""
@@ -112,23 +126,159 @@ def sp_decode(ids: Column, model_path: str) -> Column:
     return decode(ids)
 
 
-def sp_digest(text: Column, model_path: str) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256) of an encoding and its decoding.
+def _pack(numbers) -> bytes:
+    """Whole numbers below 2**32, compressed byte by byte of equal weight."""
+    import zstandard
 
-    The ids stay in the worker: at corpus scale only the digests are wanted,
-    and the arrays would be several times the text.
-    """
+    a = np.ascontiguousarray(numbers, "<u4")
+    return zstandard.ZstdCompressor().compress(a.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, … of each run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, and all their numbers in one array."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return lengths, np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+
+
+_BLOCKS = "block string, part int, chunks binary, sizes binary, docs array<string>, lengths binary, codes binary, classes binary, long_sizes binary, long_ids binary"
+
+
+def _blocks(model_path: str, parts: int, size: int):
+    """Step 1: rows of blocks (part is null) and of their lists of chunks, for mapInPandas."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(model_path), []
-        for t in texts:
-            ids = c.encode(t or "")
-            shown = ",".join(map(str, ids)).encode()
-            rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def made(docs: list, texts: list[np.ndarray], index: dict[str, int]) -> pd.DataFrame:
+        import zstandard
 
-    return digest(text)
+        names = list(index)
+        first = np.concatenate([*texts, np.zeros(0, np.uint32)])
+        by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+        # frequent chunks have small codes, and the lists stay in the order of their names: both are then smaller
+        often = np.frexp(np.bincount(first, minlength=len(names)))[1][by_name]
+        part = np.array([zlib.crc32(names[i].encode()) % parts if len(names[i]) <= LONG_CHUNK else -1 for i in by_name], np.int64)
+        code = np.empty(len(names), np.int64)
+        code[by_name[np.lexsort((part, -often))]] = np.arange(len(names))
+        order = np.lexsort((-often, part))
+        block, listed = uuid.uuid4().hex, np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(names) else []
+        long_sizes, long_ids = _flat(codec(model_path).segment([names[i] for i in by_name[order[part[order] < 0]]]))
+        rows = [(block, None, None, None, docs, _pack([len(t) for t in texts]), _pack(code[first]), _pack(32 - often[order]), _pack(long_sizes), _pack(long_ids))]
+        for at in listed:
+            if part[at[0]] >= 0:
+                own = [names[i] for i in by_name[at]]
+                rows.append((block, int(part[at[0]]), zstandard.ZstdCompressor().compress("".join(own).encode()), _pack([len(c) for c in own]), *[None] * 6))
+        out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _BLOCKS.split(", ")])
+        return out.astype({"part": "Int32"})
+
+    def run(batches):
+        chunks = codec(model_path).chunks
+        docs, texts, held = [], [], 0
+        index = defaultdict()
+        index.default_factory = index.__len__
+        for batch in batches:
+            for doc, text in zip(batch["doc"], batch["text"]):
+                found = chunks(MARK + text.replace(" ", MARK)) if text else []
+                docs.append(doc)
+                texts.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
+                held += len(text or "") + 16
+                if held >= size:
+                    yield made(docs, texts, index)
+                    docs, texts, held = [], [], 0
+                    index.clear()
+        if docs:
+            yield made(docs, texts, index)
+
+    return run
+
+
+def _segmented(model_path: str):
+    """Step 2: for a part, the ids of each block's chunks; each distinct chunk is segmented once."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        index = defaultdict()
+        index.default_factory = index.__len__
+        listed = []
+        for chunks, sizes in zip(rows["chunks"], rows["sizes"]):
+            text, ends = zstandard.ZstdDecompressor().decompress(chunks).decode(), list(accumulate(_unpack(sizes).tolist()))
+            listed.append(np.array([index[text[a:b]] for a, b in zip([0, *ends], ends)], np.int64))
+        lengths, ids = _flat(codec(model_path).segment(list(index)))
+        starts = np.cumsum(lengths) - lengths
+        return pd.DataFrame(
+            [(block, part, _pack(lengths[own]), _pack(ids[_runs(starts[own], lengths[own])])) for block, part, own in zip(rows["block"], rows["part"], listed)],
+            columns=["block", "part", "sizes", "ids"],
+        )
+
+    return run
+
+
+def _digests(model_path: str, doc: str, ids: list[int]) -> tuple:
+    shown = ",".join(map(str, ids)).encode()
+    return doc, len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(codec(model_path).decode(ids).encode()).hexdigest()
+
+
+def _arrays(model_path: str, doc: str, ids: list[int]) -> tuple:
+    return doc, ids
+
+
+def _joined(model_path: str, result, columns: list[str]):
+    """Step 3: a block's documents with the ids of their chunks, joined by position."""
+
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        b, found = block.iloc[0], found.sort_values("part")
+        lengths = np.concatenate([_unpack(b["long_sizes"]), *map(_unpack, found["sizes"])])
+        ids = np.concatenate([_unpack(b["long_ids"]), *map(_unpack, found["ids"])])
+        order = np.argsort(_unpack(b["classes"]), kind="stable")
+        starts, lengths, codes = (np.cumsum(lengths) - lengths)[order], lengths[order], _unpack(b["codes"])
+        rows, at = [], 0
+        for doc, n in zip(b["docs"], _unpack(b["lengths"]).tolist()):
+            own = codes[at : at + n]
+            at += n
+            rows.append(result(model_path, doc, ids[_runs(starts[own], lengths[own])].tolist()))
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def encoded(docs: DataFrame, model_path: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """id_col and ids (array<int>) for each row of docs; with digests, n_tokens, ids_sha256 and decoded_sha256 in place of ids.
+
+    At corpus scale digests stay small, while the ids are several times the text.
+    """
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    python_ready(spark)
+    named = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"))
+    result, schema = (_digests, "doc string, n_tokens long, ids_sha256 string, decoded_sha256 string") if digests else (_arrays, "doc string, ids array<int>")
+    columns = [f.split(" ")[0] for f in schema.split(", ")]
+    if codec(model_path).by_chunk:
+        characters = named.agg(F.sum(F.length("text"))).first()[0] or 0
+        tasks = max(FEWEST, -(-characters // SHARE))
+        blocks = written(named.mapInPandas(_blocks(model_path, tasks * PARTS, block), _BLOCKS), "chunk-blocks")
+        lists = blocks.where("part is not null").select("block", "part", "chunks", "sizes").repartition(tasks, "part")
+        found = lists.groupBy("part").applyInPandas(_segmented(model_path), "block string, part int, sizes binary, ids binary")
+        own = blocks.where("part is null").select("block", "docs", "lengths", "codes", "classes", "long_sizes", "long_ids")
+        pairs = own.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "block").groupBy("block"))
+        rows = pairs.applyInPandas(_joined(model_path, result, columns), schema)
+    else:
+
+        def whole(batches):
+            for batch in batches:
+                yield pd.DataFrame([result(model_path, d, codec(model_path).encode(t or "")) for d, t in zip(batch["doc"], batch["text"])], columns=columns)
+
+        rows = named.mapInPandas(whole, schema)
+    return rows.select(F.col("doc").cast(kind).alias(id_col), *columns[1:])
 
 
 def encoded_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -137,8 +287,7 @@ def encoded_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
-    python_ready(docs.sparkSession)
-    return docs.select("doc_id", sp_digest(F.col("text"), model_path).alias("__d")).select("doc_id", "__d.*")
+    return encoded(docs, model_path, digests=True)
 
 
 def op9_sentencepiece(spark, sf_dir):

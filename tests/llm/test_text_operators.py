@@ -224,6 +224,39 @@ def test_sentencepiece(spark, odd, none, library):
     assert P.encoded_digests(none).count() == 0
 
 
+def test_distinct_chunks_are_segmented_once(spark, library, monkeypatch):
+    import pandas as pd
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(2)
+    words = ["▁", "é日", "😀x", "a" * 65, "a" * 3000, "\x00", "\n", "<s>", *(f"w{i}" for i in range(300))]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(400)] + ["", None, " ", "   ", "z" * 50_000, "the " * 20_000]
+    made = list(P._blocks(path, 5, 3000)(iter([pd.DataFrame({"doc": [str(i) for i in range(len(texts))], "text": texts})])))
+    rows = pd.concat(made)
+    assert rows["part"].isna().sum() > 10
+    lists, asked, segment = rows[rows["part"].notna()], [], P.Codec.segment
+    monkeypatch.setattr(P.Codec, "segment", lambda self, chunks: asked.extend(chunks) or segment(self, chunks))
+    found = pd.concat([P._segmented(path)(part) for _, part in lists.groupby("part")])
+    short = {c for t in texts if t for c in P.codec(path).chunks(P.MARK + t.replace(" ", P.MARK)) if len(c) <= P.LONG_CHUNK}
+    assert len(asked) == len(set(asked)) and set(asked) == short
+    got = {}
+    for name, own in rows[rows["part"].isna()].groupby("block"):
+        got |= dict(P._joined(path, P._arrays, ["doc", "ids"])(own, found[found["block"] == name]).itertuples(index=False))
+    assert [got[str(i)] for i in range(len(texts))] == [library.encode(t or "") for t in texts]
+
+
+def test_encoded_ids(spark, odd, none, library):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = odd.select(F.concat(F.lit("n"), F.monotonically_increasing_id()).alias("name"), F.col("text").alias("body"), F.lit(1).alias("block"))
+    rows = rows.unionByName(rows.limit(1).withColumn("name", F.lit(None).cast("string"))).persist()
+    got = sorted((str(r["name"]), tuple(r["ids"])) for r in P.encoded(rows, path, id_col="name", text_col="body", block=100).collect())
+    assert got == sorted((str(r["name"]), tuple(library.encode(r["body"] or ""))) for r in rows.collect())
+    assert P.encoded(none, path).count() == 0
+
+
 def test_chunks_and_round_trip(spark, odd, library):
     import public_tokenizers
 
