@@ -31,7 +31,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,9 @@ TABLE_SIZE = 150_000
 #: Longer chunks are segmented but neither dealt nor remembered.
 LONG_CHUNK = 64
 #: Characters of a block, and of the text for each task that works on parts or blocks; FEWEST such tasks, with PARTS parts each.
-BLOCK, SHARE, FEWEST, PARTS = 16 << 20, 32 << 20, 32, 2
+BLOCK, SHARE, FEWEST, PARTS = 32 << 20, 32 << 20, 32, 2
+#: Ends a chunk in a list: no UTF-8 text has this byte.
+END = b"\xff"
 
 
 class Codec:
@@ -58,6 +60,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.table: dict[str, tuple[int, ...]] = {}
         self.ids = list(range(self.model.get_piece_size()))  # one object for each id, whatever the table's size
+        self.width = "<u2" if len(self.ids) <= 1 << 16 else "<u4"
         self.by_chunk = self._chunks_are_independent()
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
 
@@ -126,18 +129,25 @@ def sp_decode(ids: Column, model_path: str) -> Column:
     return decode(ids)
 
 
-def _pack(numbers) -> bytes:
-    """Whole numbers below 2**32, compressed byte by byte of equal weight."""
+def _pressed(data: bytes) -> bytes:
     import zstandard
 
-    a = np.ascontiguousarray(numbers, "<u4")
-    return zstandard.ZstdCompressor().compress(a.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(data)
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _plain(data: bytes) -> bytes:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _pack(numbers) -> bytes:
+    """Whole numbers below 2**32, compressed byte by byte of equal weight."""
+    return _pressed(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_plain(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
@@ -153,15 +163,13 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
 
 
-_BLOCKS = "block string, part int, chunks binary, sizes binary, docs array<string>, lengths binary, codes binary, classes binary, long_sizes binary, long_ids binary"
+_BLOCKS = "block string, part int, chunks binary, docs array<string>, lengths binary, codes binary, classes binary, long_sizes binary, long_ids binary"
 
 
 def _blocks(model_path: str, parts: int, size: int):
     """Step 1: rows of blocks (part is null) and of their lists of chunks, for mapInPandas."""
 
     def made(docs: list, texts: list[np.ndarray], index: dict[str, int]) -> pd.DataFrame:
-        import zstandard
-
         names = list(index)
         first = np.concatenate([*texts, np.zeros(0, np.uint32)])
         by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
@@ -172,12 +180,14 @@ def _blocks(model_path: str, parts: int, size: int):
         code[by_name[np.lexsort((part, -often))]] = np.arange(len(names))
         order = np.lexsort((-often, part))
         block, listed = uuid.uuid4().hex, np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(names) else []
-        long_sizes, long_ids = _flat(codec(model_path).segment([names[i] for i in by_name[order[part[order] < 0]]]))
-        rows = [(block, None, None, None, docs, _pack([len(t) for t in texts]), _pack(code[first]), _pack(32 - often[order]), _pack(long_sizes), _pack(long_ids))]
+        c = codec(model_path)
+        long_sizes, long_ids = _flat(c.segment([names[i] for i in by_name[order[part[order] < 0]]]))
+        long_ids = _pressed(long_ids.astype(c.width).tobytes())
+        rows = [(block, None, None, docs, _pack([len(t) for t in texts]), _pack(code[first]), _pack(32 - often[order]), _pack(long_sizes), long_ids)]
         for at in listed:
             if part[at[0]] >= 0:
-                own = [names[i] for i in by_name[at]]
-                rows.append((block, int(part[at[0]]), zstandard.ZstdCompressor().compress("".join(own).encode()), _pack([len(c) for c in own]), *[None] * 6))
+                own = END.join([names[i][1:].encode() for i in by_name[at]])
+                rows.append((block, int(part[at[0]]), _pressed(own), *[None] * 6))
         out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _BLOCKS.split(", ")])
         return out.astype({"part": "Int32"})
 
@@ -206,18 +216,13 @@ def _segmented(model_path: str):
     """Step 2: for a part, the ids of each block's chunks; each distinct chunk is segmented once."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        index = defaultdict()
+        c, index = codec(model_path), defaultdict()
         index.default_factory = index.__len__
-        listed = []
-        for chunks, sizes in zip(rows["chunks"], rows["sizes"]):
-            text, ends = zstandard.ZstdDecompressor().decompress(chunks).decode(), list(accumulate(_unpack(sizes).tolist()))
-            listed.append(np.array([index[text[a:b]] for a, b in zip([0, *ends], ends)], np.int64))
-        lengths, ids = _flat(codec(model_path).segment(list(index)))
+        listed = [np.array([index[x] for x in _plain(chunks).split(END)], np.int64) for chunks in rows["chunks"]]
+        lengths, ids = _flat(c.segment([MARK + x.decode() for x in index]))
         starts = np.cumsum(lengths) - lengths
         return pd.DataFrame(
-            [(block, part, _pack(lengths[own]), _pack(ids[_runs(starts[own], lengths[own])])) for block, part, own in zip(rows["block"], rows["part"], listed)],
+            [(block, part, _pack(lengths[own]), _pressed(ids[_runs(starts[own], lengths[own])].astype(c.width).tobytes())) for block, part, own in zip(rows["block"], rows["part"], listed)],
             columns=["block", "part", "sizes", "ids"],
         )
 
@@ -239,7 +244,7 @@ def _joined(model_path: str, result, columns: list[str]):
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b, found = block.iloc[0], found.sort_values("part")
         lengths = np.concatenate([_unpack(b["long_sizes"]), *map(_unpack, found["sizes"])])
-        ids = np.concatenate([_unpack(b["long_ids"]), *map(_unpack, found["ids"])])
+        ids = np.concatenate([np.frombuffer(_plain(x), codec(model_path).width) for x in (b["long_ids"], *found["ids"])])
         order = np.argsort(_unpack(b["classes"]), kind="stable")
         starts, lengths, codes = (np.cumsum(lengths) - lengths)[order], lengths[order], _unpack(b["codes"])
         rows, at = [], 0
@@ -266,7 +271,7 @@ def encoded(docs: DataFrame, model_path: str, digests: bool = False, id_col: str
         characters = named.agg(F.sum(F.length("text"))).first()[0] or 0
         tasks = max(FEWEST, -(-characters // SHARE))
         blocks = written(named.mapInPandas(_blocks(model_path, tasks * PARTS, block), _BLOCKS), "chunk-blocks")
-        lists = blocks.where("part is not null").select("block", "part", "chunks", "sizes").repartition(tasks, "part")
+        lists = blocks.where("part is not null").select("block", "part", "chunks").repartition(tasks, "part")
         found = lists.groupBy("part").applyInPandas(_segmented(model_path), "block string, part int, sizes binary, ids binary")
         own = blocks.where("part is null").select("block", "docs", "lengths", "codes", "classes", "long_sizes", "long_ids")
         pairs = own.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "block").groupBy("block"))
