@@ -29,7 +29,9 @@ import hashlib
 import re
 import uuid
 import zlib
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -47,10 +49,28 @@ TABLE_SIZE = 150_000
 LONG_CHUNK = 64
 #: Characters of a block, and of the text for each task that works on parts or blocks; FEWEST such tasks, with PARTS parts each.
 BLOCK, SHARE, FEWEST, PARTS = 32 << 20, 32 << 20, 32, 2
+#: Characters that are cut into chunks at once, up to the next chunk's start.
+STRETCH = 1 << 16
 #: Ends a chunk in a list: no UTF-8 text has this byte.
 END = b"\xff"
 
 
+_CHUNK, _START = re.compile(" +[^ ]*"), re.compile("(?<! ) ")
+
+
+def chunks_of(text: str) -> Iterator[list[str]]:
+    """Chunks of a text in order, a list for each stretch of it, so that a long text is never held as chunks.
+
+    Markers are written as spaces: the model takes both for the same, and plain strings are smaller.
+    """
+    text, at = " " + text.replace(MARK, " "), 0
+    while at < len(text):
+        cut = _START.search(text, at + STRETCH)
+        end = cut.start() if cut else len(text)
+        yield _CHUNK.findall(text, at, end)
+        at = end
+
+
 class Codec:
     """Encodes with the table of chunks; the same ids as the library's encode()."""
 
@@ -62,7 +82,6 @@ class Codec:
         self.ids = list(range(self.model.get_piece_size()))  # one object for each id, whatever the table's size
         self.width = "<u2" if len(self.ids) <= 1 << 16 else "<u4"
         self.by_chunk = self._chunks_are_independent()
-        self.chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def _chunks_are_independent(self) -> bool:
         m = self.model
@@ -84,7 +103,7 @@ class Codec:
 
     def segments(self, text: str) -> list[tuple[int, ...]]:
         """The ids of each chunk, by position."""
-        chunks, known = self.chunks(MARK + text.replace(" ", MARK)), self.table
+        chunks, known = list(chain.from_iterable(chunks_of(text))), self.table
         if len(known) > TABLE_SIZE:
             known.clear()
         new = [c for c in set(chunks) if c not in known]
@@ -95,8 +114,8 @@ class Codec:
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """The ids of each chunk."""
         # the model itself puts the first marker in front, but has no text for a single marker
-        found = self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1) if chunks else []
-        return [ids if c != MARK else [self.model.piece_to_id(MARK)] for c, ids in zip(chunks, found)]
+        found = self.model.encode([c[1:] for c in chunks], num_threads=1) if chunks else []
+        return [ids if c != " " else [self.model.piece_to_id(MARK)] for c, ids in zip(chunks, found)]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids) if ids else ""
@@ -141,14 +160,29 @@ def _plain(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _pack(numbers) -> bytes:
-    """Whole numbers below 2**32, compressed byte by byte of equal weight."""
-    return _pressed(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+#: Numbers that are packed or counted at once.
+STEP = 1 << 18
+
+
+def _pack(numbers, names: np.ndarray | None = None) -> bytes:
+    """Whole numbers below 2**32, or what names has at these places, compressed byte by byte of equal weight."""
+    numbers = np.asarray(numbers)
+    planes = np.empty((4, len(numbers)), np.uint8)
+    for at in range(0, len(numbers), STEP):
+        some = numbers[at : at + STEP]
+        some = some.astype(np.uint32) if names is None else names[some]
+        for k in range(4):
+            planes[k, at : at + STEP] = some >> np.uint32(8 * k) & np.uint32(255)
+    return _pressed(planes)
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, kind=np.int64) -> np.ndarray:
     planes = np.frombuffer(_plain(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    numbers = np.zeros(planes.shape[1], kind)
+    for k in range(4):
+        for at in range(0, len(numbers), STEP):
+            numbers[at : at + STEP] |= planes[k, at : at + STEP].astype(kind) << kind(8 * k)
+    return numbers
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,45 +203,48 @@ _BLOCKS = "block string, part int, chunks binary, docs array<string>, lengths bi
 def _blocks(model_path: str, parts: int, size: int):
     """Step 1: rows of blocks (part is null) and of their lists of chunks, for mapInPandas."""
 
-    def made(docs: list, texts: list[np.ndarray], index: dict[str, int]) -> pd.DataFrame:
-        names = list(index)
-        first = np.concatenate([*texts, np.zeros(0, np.uint32)])
-        by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+    def made(docs: list, lengths: list[int], codes: array, index: dict[str, int]) -> pd.DataFrame:
+        names, first = sorted(index), np.frombuffer(codes, np.uint32)
+        place = np.fromiter(map(index.__getitem__, names), np.uint32, len(names))
+        count = np.zeros(len(names), np.int64)
+        for at in range(0, len(first), STEP):
+            count += np.bincount(first[at : at + STEP], minlength=len(names))
         # frequent chunks have small codes, and the lists stay in the order of their names: both are then smaller
-        often = np.frexp(np.bincount(first, minlength=len(names)))[1][by_name]
-        part = np.array([zlib.crc32(names[i].encode()) % parts if len(names[i]) <= LONG_CHUNK else -1 for i in by_name], np.int64)
-        code = np.empty(len(names), np.int64)
-        code[by_name[np.lexsort((part, -often))]] = np.arange(len(names))
+        often = np.frexp(count)[1][place]
+        part = np.fromiter((zlib.crc32(x.encode()) % parts if len(x) <= LONG_CHUNK else -1 for x in names), np.int64, len(names))
+        code = np.empty(len(names), np.uint32)
+        code[place[np.lexsort((part, -often))]] = np.arange(len(names), dtype=np.uint32)
         order = np.lexsort((-often, part))
         block, listed = uuid.uuid4().hex, np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(names) else []
         c = codec(model_path)
-        long_sizes, long_ids = _flat(c.segment([names[i] for i in by_name[order[part[order] < 0]]]))
+        long_sizes, long_ids = _flat(c.segment([names[i] for i in order[part[order] < 0]]))
         long_ids = _pressed(long_ids.astype(c.width).tobytes())
-        rows = [(block, None, None, docs, _pack([len(t) for t in texts]), _pack(code[first]), _pack(32 - often[order]), _pack(long_sizes), long_ids)]
+        rows = [(block, None, None, docs, _pack(lengths), _pack(first, code), _pack(32 - often[order]), _pack(long_sizes), long_ids)]
         for at in listed:
             if part[at[0]] >= 0:
-                own = END.join([names[i][1:].encode() for i in by_name[at]])
+                own = END.join([names[i][1:].encode() for i in at])
                 rows.append((block, int(part[at[0]]), _pressed(own), *[None] * 6))
         out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _BLOCKS.split(", ")])
         return out.astype({"part": "Int32"})
 
     def run(batches):
-        chunks = codec(model_path).chunks
-        docs, texts, held = [], [], 0
+        docs, lengths, codes, held = [], [], array("I"), 0
         index = defaultdict()
         index.default_factory = index.__len__
         for batch in batches:
             for doc, text in zip(batch["doc"], batch["text"]):
-                found = chunks(MARK + text.replace(" ", MARK)) if text else []
+                before = len(codes)
+                for found in chunks_of(text) if text else ():
+                    codes.extend(map(index.__getitem__, found))
                 docs.append(doc)
-                texts.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
+                lengths.append(len(codes) - before)
                 held += len(text or "") + 16
                 if held >= size:
-                    yield made(docs, texts, index)
-                    docs, texts, held = [], [], 0
+                    yield made(docs, lengths, codes, index)
+                    docs, lengths, codes, held = [], [], array("I"), 0
                     index.clear()
         if docs:
-            yield made(docs, texts, index)
+            yield made(docs, lengths, codes, index)
 
     return run
 
@@ -219,7 +256,7 @@ def _segmented(model_path: str):
         c, index = codec(model_path), defaultdict()
         index.default_factory = index.__len__
         listed = [np.array([index[x] for x in _plain(chunks).split(END)], np.int64) for chunks in rows["chunks"]]
-        lengths, ids = _flat(c.segment([MARK + x.decode() for x in index]))
+        lengths, ids = _flat(c.segment([" " + x.decode() for x in index]))
         starts = np.cumsum(lengths) - lengths
         return pd.DataFrame(
             [(block, part, _pack(lengths[own]), _pressed(ids[_runs(starts[own], lengths[own])].astype(c.width).tobytes())) for block, part, own in zip(rows["block"], rows["part"], listed)],
@@ -246,7 +283,7 @@ def _joined(model_path: str, result, columns: list[str]):
         lengths = np.concatenate([_unpack(b["long_sizes"]), *map(_unpack, found["sizes"])])
         ids = np.concatenate([np.frombuffer(_plain(x), codec(model_path).width) for x in (b["long_ids"], *found["ids"])])
         order = np.argsort(_unpack(b["classes"]), kind="stable")
-        starts, lengths, codes = (np.cumsum(lengths) - lengths)[order], lengths[order], _unpack(b["codes"])
+        starts, lengths, codes = (np.cumsum(lengths) - lengths)[order], lengths[order], _unpack(b["codes"], np.uint32)
         rows, at = [], 0
         for doc, n in zip(b["docs"], _unpack(b["lengths"]).tolist()):
             own = codes[at : at + n]
