@@ -10,6 +10,10 @@ by a factor of two is out of the question at these counts: a sketch never has
 more set registers than distinct sites, and to lose half of them to collisions
 has a chance below one in a million for a line.
 
+Up to BROADCAST_LINES boilerplate hashes become a constant of the plan, a table
+of short lists in which each document looks up its lines where it is: no text
+moves. More are joined with the lines, and the texts with what they lose.
+
 Lines end at \\n and are compared after trimming spaces. Empty lines are never
 boilerplate. All copies of a boilerplate line go, in every document.
 
@@ -20,6 +24,9 @@ or ignored, never read.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +34,7 @@ from .common import table, written
 
 MIN_SITES = 5
 RELATIVE_ERROR = 0.05
-#: A set of at most this many line hashes (8 bytes each) is broadcast; a larger one is joined by shuffle.
+#: A set of at most this many line hashes (8 bytes each) is broadcast or a constant of the plan; a larger one is joined by shuffle.
 BROADCAST_LINES = 500_000
 
 
@@ -62,30 +69,43 @@ def _sized(lines: DataFrame) -> DataFrame:
     return F.broadcast(lines) if lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else lines
 
 
+def _among(hashes: list[int]) -> Callable[[Column], Column]:
+    """Whether a hash is one of these, by a table of short lists that is a constant of the plan: no text moves."""
+    lists: list[list[int]] = [[] for _ in range(1 << max(len(hashes) - 1, 1).bit_length())]
+    for h in hashes:
+        lists[h & (len(lists) - 1)].append(h)
+    known = F.from_json(F.lit(json.dumps(lists)), "array<array<bigint>>")
+    return lambda h: F.array_contains(F.get(known, h.bitwiseAND(F.lit(len(lists) - 1)).cast("int")), h)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """All columns of docs, the text without boilerplate lines, and n_lines and n_removed (long).
 
     A null text stays null.
     """
-    marked = _sized(boilerplate(docs, site_col, text_col, min_sites).select("line_hash"))
+    marked = boilerplate(docs, site_col, text_col, min_sites).select("line_hash")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text)
-    hits = (
-        docs.select(F.col(id_col).alias("__id"), key.alias("__h"), F.explode(F.array_distinct(line_hashes(text))).alias("line_hash"))
-        .join(marked, "line_hash", "left_semi")
-        .groupBy("__id", "__h")
-        .agg(F.collect_set("line_hash").alias("__drop"))  # at most the lines of one text
-    )
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.select(*own, key.alias("__key")).join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
+    few = marked.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    if few:
+        both, in_drop = docs.select(*own), _among([r[0] for r in marked.collect()])
+    else:
+        key = F.xxhash64(text)
+        hits = (
+            docs.select(F.col(id_col).alias("__id"), key.alias("__h"), F.explode(F.array_distinct(line_hashes(text))).alias("line_hash"))
+            .join(marked, "line_hash", "left_semi")
+            .groupBy("__id", "__h")
+            .agg(F.collect_set("line_hash").alias("__drop"))  # at most the lines of one text
+        )
+        both = docs.select(*own, key.alias("__key")).join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
+        in_drop = lambda h: F.coalesce(F.array_contains(F.col("__drop"), h), F.lit(False))
     pairs = F.arrays_zip(F.split(text, "\n").alias("l"), line_hashes(text).alias("h"))
-    kept = F.filter(pairs, lambda x: x["h"].isNull() | ~F.array_contains(F.col("__drop"), x["h"]))
-    total = F.size(F.split(text, "\n")).cast("long")
-    gone = F.col("__drop").isNotNull()
-    return both.select(
-        *[F.when(gone, F.array_join(F.transform(kept, lambda x: x["l"]), "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own],
-        total.alias("n_lines"),
-        F.when(gone, total - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+    rows = both.withColumn("__kept", F.filter(pairs, lambda x: x["h"].isNull() | ~in_drop(x["h"]))).withColumn("__total", F.size(F.split(text, "\n")).cast("long"))
+    gone = F.col("__total") > F.size("__kept")
+    return rows.select(
+        *[F.when(gone, F.array_join(F.transform("__kept", lambda x: x["l"]), "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own],
+        F.col("__total").alias("n_lines"),
+        (F.col("__total") - F.size("__kept")).cast("long").alias("n_removed"),
     )
 
 

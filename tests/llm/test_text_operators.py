@@ -139,6 +139,15 @@ def test_line_dedup_joins_large_sets_by_shuffle(spark, odd, monkeypatch):
     assert sorted(map(str, N.line_dedup(odd, min_sites=3).collect())) == broadcast
 
 
+def test_line_dedup_moves_no_text(spark, odd):
+    """Only line hashes are shuffled, before: the texts are read and written where they are."""
+    plan = N.line_dedup(odd, min_sites=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    hashes = [-(2**63), -1, 0, 1, 2**63 - 1, *range(10**15, 10**15 + 50)]
+    tried = spark.createDataFrame([(h, d) for h in hashes for d in (0, 1)], "h long, d long").select(F.transform(F.array(F.col("h") + F.col("d") * 100), N._among(hashes))[0].alias("known"), "h", "d")
+    assert all(r["known"] == (r["d"] == 0) for r in tried.where("d = 0 or h between 3 and 9e17").collect())
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
