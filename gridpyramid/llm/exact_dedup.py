@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, table
+from .common import SCRATCH, ascii_lower, shared_dir, table
 
 #: Directory slots never exceed 2**MAX_DEPTH; beyond that buckets grow instead.
 MAX_DEPTH = 14
@@ -93,7 +93,7 @@ def hash_index(docs: DataFrame, slots: DataFrame, depth: int, buckets: int, id_c
     )
     chains = entries.repartition(buckets, "__bucket").groupBy("__bucket", "h").agg(F.collect_list("entry").alias("chain"))  # texts of one 64-bit hash
     path = shared_dir(docs.sparkSession, "exact-index")
-    chains.write.partitionBy("__bucket").parquet(path)
+    chains.write.options(**SCRATCH).partitionBy("__bucket").parquet(path)
     return docs.sparkSession.read.schema(chains.select("h", "chain", "__bucket").schema).parquet(path)
 
 

@@ -246,8 +246,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
             yield pd.DataFrame({"lang": lang, "o": np.int32(order), "g": hashes.view(np.int64), "n": n})
 
     summed = rows.mapInPandas(tally, "lang string, o int, g long, n long").groupBy("lang", "o", "g").agg(F.sum("n").alias("n"))
-    found = written(summed, "language-counts").toLocalIterator()
-    return Model.of(pd.DataFrame([tuple(r) for r in found], columns=["lang", "o", "g", "n"]))
+    return Model.of(written(summed, "language-counts").toArrow().to_pandas())  # as whole columns, not an object for each value
 
 
 def predict(text: Column, model: Model, spark) -> Column:

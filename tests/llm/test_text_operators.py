@@ -21,6 +21,7 @@ from gridpyramid.llm import sentencepiece_codec as P
 from gridpyramid.llm import source_mixing as M
 from gridpyramid.llm import token_counts as T
 from gridpyramid.llm import topk_search as K
+from gridpyramid.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, id long"
@@ -89,6 +90,13 @@ def test_directory_doubles():
     assert E.split_directory({}, 10) == [(0, 0, 0)]
 
 
+def test_steps_write_no_checksum_files(spark, tmp_path, monkeypatch):
+    """Without Hadoop's native library each file and each checksum file costs processes, forked from a JVM of a gigabyte."""
+    monkeypatch.setattr("gridpyramid.llm.common.shared_dir", lambda _, name: f"file://{tmp_path}/{name}")
+    assert sorted(r[0] for r in written(spark.range(100).repartition(3), "step").collect()) == list(range(100))
+    assert {p.name.split("-")[0] for p in tmp_path.rglob("*") if p.is_file()} == {"part"}
+
+
 def test_small_buckets_give_the_same(spark, odd):
     same = lambda n: sorted(map(str, E.exact_dedup(odd, capacity=n).select("doc_id", "keep_id", "group_size", "kept").collect()))
     assert same(1) == same(10_000)
@@ -388,6 +396,14 @@ def test_language_equals_plain_python(spark):
     assert model.predict_all([None, "2² ½ Ⅷ ①"])[0] == ["und", "und"]
 
 
+def test_language_counts_come_as_columns(spark, monkeypatch):
+    """The driver holds no object for each count of the model."""
+    monkeypatch.delattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator")
+    monkeypatch.delattr("pyspark.sql.classic.dataframe.DataFrame.collect")
+    model = L.fit(spark.createDataFrame([("the cat", "en"), ("die Katze", "de")], "text string, lang string"))
+    assert model.predict("die")[0] == "de" and model.predict("cat")[0] == "en"
+
+
 def test_language_in_small_steps(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     same = lambda: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in L.identify(docs).collect())
